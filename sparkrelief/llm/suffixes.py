@@ -388,30 +388,27 @@ def _removed(n: int, digest: bool):
         mask_bits = np.concatenate([m[1] for m in masks]) if masks else np.empty(0, np.int64)
         order = np.argsort(mask_keys)
         mask_keys, mask_bits = mask_keys[order], mask_bits[order]
-        least: list[tuple[np.ndarray, np.ndarray]] = []
+        strings = []
         if len(marks):
             for texts, ids in _chunks(left):
                 a = _Anchored(texts, ids)
-                _, _, k, d, _ = _strings(a, *_candidates(a, marks, hot, n))
-                least.append(_least(k, d)[:2])
+                strings.append(_strings(a, *_candidates(a, marks, hot, n))[:4])
+        least = [_least(k, d)[:2] for _, _, k, d in strings]
         keys, docs, _ = _least(*map(np.concatenate, zip(*least, strict=True))) if least else (np.empty(0, U), np.empty(0, np.int64), None)
         n_bytes, n_removed, n_spans, kept = [], [], [], []
-        for texts, ids in _chunks(left):
+        for chunk, (texts, _) in enumerate(_chunks(left)):
             sizes = np.array([len(t) for t in texts], np.int64)
             ends = np.cumsum(sizes)
             gone = np.zeros(int(ends[-1]) if len(ends) else 0, bool)
             if len(marks):
-                a = _Anchored(texts, ids)
-                lo, hi, k, d, _ = _strings(a, *_candidates(a, marks, hot, n))
+                lo, hi, k, d = strings[chunk]
                 if len(k):
                     m = _look(mask_keys, k)
                     bits = np.where(m >= 0, mask_bits[np.maximum(m, 0)] if len(mask_bits) else 0, 0)
                     bits = np.where(d > docs[_look(keys, k)], (np.int64(1) << (hi - lo + 1)) - 1, bits)
-                    cover = np.zeros(len(gone) + 1, np.int64)
-                    for o in range(int((hi - lo).max()) + 1):
-                        s = lo[(bits >> o) & 1 == 1] + o
-                        np.add.at(cover, s, 1)
-                        np.add.at(cover, s + LENGTH, -1)
+                    hits = [lo[(bits >> o) & 1 == 1] + o for o in range(int((hi - lo).max()) + 1)]
+                    cover = np.bincount(np.concatenate(hits), minlength=len(gone) + 1)
+                    cover[LENGTH:] -= cover[:-LENGTH].copy()
                     gone = np.cumsum(cover)[:-1] > 0
             whole = np.frombuffer(b"".join(texts), np.uint8)
             for e, s in zip(ends.tolist(), sizes.tolist(), strict=True):
