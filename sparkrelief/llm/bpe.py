@@ -99,8 +99,13 @@ class WordBPE:
 
     def symbols(self, word: str) -> list[int]:
         s = self.spelled(word)
-        out = [self.vocab.get(c) for c in s[:-1]] + [self.vocab.get(s[-1] + END)]
-        return [x for x in out if x is not None]
+        try:
+            out = [self.vocab[c] for c in s]
+            out[-1] = self.vocab[s[-1] + END]
+            return out
+        except KeyError:
+            out = [self.vocab.get(c) for c in s[:-1]] + [self.vocab.get(s[-1] + END)]
+            return [x for x in out if x is not None]
 
     def merge(self, ids: list[int]) -> list[int]:
         """Exact merging: the pair of lowest rank first, the leftmost of equals."""
@@ -108,14 +113,14 @@ class WordBPE:
         if len(ids) > LONG_WORD:
             return self._merge_long(ids)
         ids = list(ids)
-        todo = [get(a << 16 | b, NEVER) for a, b in zip(ids, ids[1:], strict=False)]
+        todo = [get(a << 16 | b, NEVER) for a, b in zip(ids, ids[1:])]  # noqa: B905
         while todo:
             best = min(todo)
             if best == NEVER:
                 break
             i = todo.index(best)
-            ids[i : i + 2] = [best & 0xFFFF]
-            del todo[i]
+            ids[i] = best & 0xFFFF
+            del ids[i + 1], todo[i]
             if i:
                 todo[i - 1] = get(ids[i - 1] << 16 | ids[i], NEVER)
             if i < len(todo):

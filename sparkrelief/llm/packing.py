@@ -31,7 +31,7 @@ from .common import partitions, read, staged
 
 CAPACITY = 4096
 #: Words remembered by a worker, twice over.
-MAX_CACHE = 400_000
+MAX_CACHE = 700_000
 SEPARATOR = 1
 #: Longer pieces are large; the others fill gaps.
 LARGE = CAPACITY // 8
