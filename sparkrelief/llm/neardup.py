@@ -12,7 +12,9 @@ Pairs are confirmed on full shingle sets. To find components it isn't needed to
 compare all members of a key: first each is compared with one representative
 (two rounds, with different representatives); members of one key that are still
 in different components are then compared by signature, in blocks of bounded
-size, and only pairs within the distance are confirmed.
+size. A block holds its members' signatures and short hashes of their sets; each
+pair within the distance is judged in the block of its first common key, and
+only pairs that may reach the similarity leave it, to be confirmed.
 """
 
 from __future__ import annotations
@@ -83,7 +85,7 @@ def _keyed(batches):
                     for j in range(_EACH):
                         if j != gap:
                             h = pair(h, sig[:, c * _EACH + j] + U(j << 16))
-                    keys[:, c * _EACH + gap] = mix(h)
+                    keys[:, c * _EACH + gap] = (mix(h) & ~U(63)) | U(c * _EACH + gap)
         yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(ids, HASHES))], ["key", "id"])
 
 
@@ -117,37 +119,79 @@ def _confirmed(shingle: int, percent: int):
     return run
 
 
-def _across(batches):
-    """Within each (key, block): pairs of different components that are within the distance."""
-    held: list[tuple] = []
-
-    def close(rows):
-        if len(rows) < 2:
-            return
-        ids = np.array([r[1] for r in rows])
-        comp = np.array([r[2] for r in rows])
-        size = np.array([r[3] for r in rows], float)
-        side = np.array([r[5] for r in rows])
-        sig = np.frombuffer(b"".join([r[4] for r in rows]), "<u2").reshape(-1, HASHES)
-        for i in range(len(rows) - 1):
-            j = np.arange(i + 1, len(rows))
-            j = j[(comp[j] != comp[i]) & ((side[j] != side[i]) | (side[i] == 0)) & (np.minimum(size[j], size[i]) >= 0.8 * np.maximum(size[j], size[i]) - 1e-9)]
-            if len(j):
-                j = j[(sig[j] != sig[i]).sum(1) <= DISTANCE]
-                yield from ((min(ids[i], x), max(ids[i], x)) for x in ids[j].tolist())
-
-    def flushed(rows):
-        got = sorted(set(close(rows)))
-        if got:
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], ["a", "b"])
+def _short_sets(shingle: int):
+    """Sorted 32-bit hashes of each text's shingles."""
 
-    for batch in batches:
-        for r in zip(*[batch[c].to_pylist() for c in ("key", "id", "component", "n_shingles", "sig", "side", "block")], strict=True):
-            if held and (held[0][0], held[0][6]) != (r[0], r[6]):
-                yield from flushed(held)
-                held = []
-            held.append(r)
-    yield from flushed(held)
+    def run(batches):
+        for batch in batches:
+            sets = [np.unique((shingle_hashes(word_hashes(t), shingle) >> U(32)).astype("<u4")).tobytes() for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(sets, pa.binary())], ["id", "short"])
+
+    return run
+
+
+def _first_common(equal: np.ndarray) -> np.ndarray:
+    """For rows of equal symbols, the first index (chunk and symbol left out) by which both have one key."""
+    per = equal.reshape(len(equal), CHUNKS, _EACH)
+    count = per.sum(2)
+    chunk = (count >= _EACH - 1).argmax(1)
+    rows = np.arange(len(equal))
+    gap = np.where(count[rows, chunk] == _EACH, 0, (~per[rows, chunk]).argmax(1))
+    return chunk * _EACH + gap
+
+
+def _block_links(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Pairs of one (key, block) that are in different components and may reach the similarity.
+
+    Links found here join components for the rest of the block. Short hashes may collide, so a pair is let
+    through if it misses the similarity by up to two shingles; the full sets decide.
+    """
+    ids = [r[1] for r in rows]
+    comp = np.array([r[2] for r in rows])
+    size = np.array([r[3] for r in rows], float)
+    side = np.array([r[5] for r in rows])
+    sig = np.frombuffer(b"".join([r[4] for r in rows]), "<u2").reshape(-1, HASHES)
+    sets = [np.frombuffer(r[7], "<u4") for r in rows]
+    mask, out = rows[0][0] & 63, []
+    for i in range(len(rows) - 1):
+        j = np.arange(i + 1, len(rows))
+        j = j[(comp[j] != comp[i]) & ((side[j] != side[i]) | (side[i] == 0)) & (100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i]))]
+        if not len(j):
+            continue
+        equal = sig[j] == sig[i]
+        near = np.flatnonzero(equal.sum(1) >= HASHES - DISTANCE)
+        near = near[_first_common(equal[near]) == mask] if len(near) else near
+        for k in range(0, len(near), 256):
+            some = j[near[k : k + 256]]
+            lengths = np.array([len(sets[x]) for x in some])
+            every = np.concatenate([sets[x] for x in some])
+            at = np.minimum(np.searchsorted(sets[i], every), len(sets[i]) - 1)
+            both = np.add.reduceat((sets[i][at] == every).astype(np.int64), np.cumsum(lengths) - lengths) + 2
+            for x in some[100 * both >= percent * (size[i] + size[some] - both)].tolist():
+                out.append((min(ids[i], ids[x]), max(ids[i], ids[x])))
+    return out
+
+
+def _across(percent: int):
+    """Each (key, block) of sorted rows to its pairs."""
+
+    def run(batches):
+        held: list[tuple] = []
+
+        def flushed(rows):
+            got = sorted(set(_block_links(rows, percent))) if len(rows) > 1 else []
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for r in zip(*[batch[c].to_pylist() for c in ("key", "id", "component", "n_shingles", "sig", "side", "block", "short")], strict=True):
+                if held and (held[0][0], held[0][6]) != (r[0], r[6]):
+                    yield from flushed(held)
+                    held = []
+                held.append(r)
+        yield from flushed(held)
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> DataFrame:
@@ -180,7 +224,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
             of = labels.select(F.col("id").alias("rep"), F.col("component").alias("rep_component"))
             pairs = labelled.join(of, "rep").where("component <> rep_component").select(F.least("rep", "id").alias("a"), F.greatest("rep", "id").alias("b")).distinct()
         else:
-            pairs = _residual(labelled, sets, spark)
+            pairs = _residual(labelled, sets, source, shingle, percent)
         if turn < STAR_ROUNDS:
             sig = sets.select("id", "sig", "n_shingles")
             with_a = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"), F.col("n_shingles").alias("n_a")), "a")
@@ -191,6 +235,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
         text_b = source.select(F.col("doc_id").alias("b"), F.col("text").cast("binary").alias("text_b"))
         found = pairs.join(text_b.where("text_b is not null"), "b").join(text_a.where("text_a is not null"), "a").sortWithinPartitions("a").mapInArrow(_confirmed(shingle, percent), "a long, b long")
         found = staged(found, "found")
+        if turn and not found.limit(1).count():
+            continue
         links = found if links is None else staged(links.union(found), "links")
         linked = components(links)
         labels = staged(sets.select("id").join(linked, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "labels")
@@ -199,18 +245,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _residual(labelled: DataFrame, sets: DataFrame, spark) -> DataFrame:
-    """Pairs within the distance among members of one key in different components, by blocks of bounded size.
+def _residual(labelled: DataFrame, sets: DataFrame, source: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Pairs that may reach the similarity among members of one key in different components, by blocks of bounded size.
 
     A key with more members than ``BLOCK`` is dealt into parts; every two parts meet in a block of their own.
     """
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     part = F.pmod(F.xxhash64("id"), parts).cast("int")
-    block = F.transform(F.sequence(F.lit(0), parts - 1), lambda o: F.struct(F.least(part, o).alias("x"), F.greatest(part, o).alias("y"), F.when(part == o, F.lit(0)).when(part < o, F.lit(1)).otherwise(F.lit(2)).alias("side")))
     # a part meets itself once, and the others as the lower (1) or the upper (2) side
-    dealt = labelled.select("key", "id", "component", F.explode(block).alias("b")).select("key", "id", "component", (F.col("b.x").cast("long") * 1_000_000 + F.col("b.y")).alias("block"), F.col("b.side").alias("side"))
-    full = dealt.join(sets.select("id", "n_shingles", "sig"), "id")
-    return full.repartition(partitions(spark), "key", "block").sortWithinPartitions("key", "block", "id").mapInArrow(_across, "a long, b long").distinct()
+    block = F.transform(F.sequence(F.lit(0), parts - 1), lambda o: F.struct((F.least(part, o).cast("long") * 1_000_000 + F.greatest(part, o)).alias("block"), F.when(part == o, F.lit(0)).when(part < o, F.lit(1)).otherwise(F.lit(2)).alias("side")))
+    dealt = labelled.select("key", "id", "component", F.explode(block).alias("b")).select("key", "id", "component", "b.block", "b.side")
+    open_ids = labelled.select("id").distinct()
+    texts = source.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text")).where("text is not null")
+    short = staged(texts.join(open_ids, "id", "left_semi").mapInArrow(_short_sets(shingle), "id long, short binary").join(sets.select("id", "n_shingles", "sig"), "id"), "short")
+    full = dealt.join(short, "id")
+    return full.repartition(partitions(labelled.sparkSession), "key", "block").sortWithinPartitions("key", "block", "id").mapInArrow(_across(percent), "a long, b long").distinct()
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
