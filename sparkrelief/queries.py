@@ -1,15 +1,309 @@
-"""Registered queries of the terrain engine and their SQL oracles."""
+"""Registered queries of the terrain engine and their SQL oracles.
+
+Points: integer hashes of keys give lon and lat in both engines. Grids: an embedding is an 8 by 8 grid of
+heights, north up, in thousandths; tiles lie side by side in rows of 20.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import codec, geo
+from .operators import avail, normals, quantize, resample, rtin, streams
+from .plans import encode
+from .sources import png, tilebytes
+
+_LON, _LAT = "(k * 2654435761 % 3600001) / 10000.0 - 180", "(k * 40503 % 1700001) / 10000.0 - 85"
+SQL: dict[str, str] = {}
+RUN: dict = {}
+
+
+def _query(sql: str | None = None):
+    def keep(f):
+        RUN[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str, *columns) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
+
+
+def _points(spark, sf_dir, table, key, *more) -> DataFrame:
+    k = F.col(key).cast("long")
+    lon = (k * F.lit(2654435761) % 3600001) / F.lit(10000.0) - 180
+    lat = (k * F.lit(40503) % 1700001) / F.lit(10000.0) - 85
+    return _read(spark, sf_dir, table, k.alias("k"), lon.alias("lon"), lat.alias("lat"), *more)
+
+
+def _sql_points(table: str, key: str, more: str = "") -> str:
+    return f"pts AS (SELECT k, {_LON} AS lon, {_LAT} AS lat {', ' + more if more else ''} FROM (SELECT CAST({key} AS BIGINT) AS k, * FROM {table}))"
+
+
+def _tiles(spark, sf_dir, extra=()) -> DataFrame:
+    h = F.transform("embedding", lambda e: e.cast("double") * 1000)
+    x, y = (F.col("vec_id") % 20).cast("int"), F.floor(F.col("vec_id") / 20).cast("int")
+    return _read(spark, sf_dir, "embeddings", "vec_id", h.alias("heights"), x.alias("x"), y.alias("y"))
+
+
+def _padded(spark, sf_dir) -> DataFrame:
+    """9 by 9 grids: the last column and row again."""
+    t = _tiles(spark, sf_dir)
+    at = geo.let(F.col("heights"), lambda h: F.transform(F.sequence(F.lit(0), F.lit(80)), lambda i: F.get(h, F.least(F.floor(i / 9), F.lit(7)).cast("int") * 8 + F.least(i % 9, F.lit(7)))))
+    return t.withColumn("heights", at).withColumn("bounds", geo.geodetic_bounds(F.col("x").cast("long"), F.col("y").cast("long"), F.lit(7)))
+
+
+_SQL_GRID = "grid AS (SELECT vec_id, gx, gy, CAST(embedding[least(gy,7)*8 + least(gx,7) + 1] AS DOUBLE) * 1000 AS h FROM embeddings, range(9) r(gx), range(9) s(gy))"
+_SQL_TREE = """tri0 AS (
+ SELECT 1 AS level, ax, ay, bx, by_, cx, cy, CAST(NULL AS INT) AS pm FROM (VALUES (0,0,8,8,8,0),(8,8,0,0,0,8)) t(ax,ay,bx,by_,cx,cy)
+ UNION ALL
+ SELECT level+1, CASE WHEN s=0 THEN cx ELSE bx END, CASE WHEN s=0 THEN cy ELSE by_ END, CASE WHEN s=0 THEN ax ELSE cx END, CASE WHEN s=0 THEN ay ELSE cy END, (ax+bx)//2, (ay+by_)//2, (ay+by_)//2*9+(ax+bx)//2
+ FROM tri0, (VALUES (0),(1)) q(s) WHERE level <= 6),
+tri AS (SELECT *, CASE WHEN level <= 6 THEN (ay+by_)//2*9+(ax+bx)//2 END AS mid FROM tri0),
+step AS (SELECT DISTINCT pm AS up, mid AS down FROM tri WHERE pm IS NOT NULL AND mid IS NOT NULL),
+reach AS (SELECT DISTINCT mid AS up, mid AS down FROM tri WHERE mid IS NOT NULL UNION SELECT r.up, s.down FROM reach r JOIN step s ON r.down = s.up),
+post AS (SELECT vec_id, gy*9+gx AS p, h FROM grid),
+own AS (SELECT a.vec_id, t.mid, max(abs((a.h+b.h)/2-m.h)) AS e FROM tri t JOIN post a ON a.p=t.ay*9+t.ax JOIN post b ON b.p=t.by_*9+t.bx AND b.vec_id=a.vec_id JOIN post m ON m.p=t.mid AND m.vec_id=a.vec_id WHERE t.mid IS NOT NULL GROUP BY 1,2),
+err AS (SELECT o.vec_id, r.up AS mid, max(o.e) AS e FROM own o JOIN reach r ON r.down=o.mid GROUP BY 1,2),
+kept AS (SELECT v.vec_id, t.* FROM tri t CROSS JOIN (SELECT vec_id FROM embeddings) v LEFT JOIN err em ON em.vec_id=v.vec_id AND em.mid=t.mid LEFT JOIN err ep ON ep.vec_id=v.vec_id AND ep.mid=t.pm
+ WHERE (t.pm IS NULL OR ep.e > 200) AND (t.mid IS NULL OR em.e <= 200))"""
+_RTIN = f"WITH RECURSIVE {_SQL_GRID}, {_SQL_TREE} "
+
+
+@_query(f"WITH {_sql_points('lineitem', 'l_orderkey')} SELECT x, y, count(*) AS n FROM (SELECT CAST(least(greatest(floor((lon+180)/360*1024),0),1023) AS BIGINT) x, CAST(least(greatest(floor((1-asinh(tan(radians(least(greatest(lat,-85.05112877980659),85.05112877980659))))/pi())/2*1024),0),1023) AS BIGINT) y FROM pts) GROUP BY 1,2")
+def tile_xyz_count(spark, sf_dir):
+    t = geo.lonlat_to_xyz(F.col("lon"), F.col("lat"), F.lit(10))
+    return _points(spark, sf_dir, "lineitem", "l_orderkey").select(t.alias("t")).groupBy(F.col("t.x").alias("x"), F.col("t.y").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(f"WITH {_sql_points('lineitem', 'l_partkey')} SELECT x, y, count(*) AS n FROM (SELECT CAST(least(greatest(floor((lon+180)/360*512),0),511) AS BIGINT) x, 511-CAST(least(greatest(floor((1-asinh(tan(radians(least(greatest(lat,-85.05112877980659),85.05112877980659))))/pi())/2*512),0),511) AS BIGINT) y FROM pts) GROUP BY 1,2")
+def tile_tms_count(spark, sf_dir):
+    t = geo.lonlat_to_tms(F.col("lon"), F.col("lat"), F.lit(9))
+    return _points(spark, sf_dir, "lineitem", "l_partkey").select(t.alias("t")).groupBy(F.col("t.x").alias("x"), F.col("t.y").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(f"WITH {_sql_points('lineitem', 'l_orderkey')} SELECT x, y, count(*) AS n FROM (SELECT CAST(least(greatest(floor((lon+180)/360*512),0),511) AS BIGINT) x, CAST(least(greatest(floor((lat+90)/180*256),0),255) AS BIGINT) y FROM pts) GROUP BY 1,2")
+def tile_geodetic_count(spark, sf_dir):
+    t = geo.lonlat_to_geodetic(F.col("lon"), F.col("lat"), F.lit(8))
+    return _points(spark, sf_dir, "lineitem", "l_orderkey").select(t.alias("t")).groupBy(F.col("t.x").alias("x"), F.col("t.y").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("SELECT k, x, y, round(x/1024.0*360-180,6) AS west, round(degrees(atan(sinh(pi()*(1-2*(y+1)/1024.0)))),6) AS south, round((x+1)/1024.0*360-180,6) AS east, round(degrees(atan(sinh(pi()*(1-2*y/1024.0)))),6) AS north, round(degrees(atan(sinh(pi()*(1-2*(1023-y)/1024.0)))),6) AS tms_north, round(y*180/1024.0-90,6) AS geo_south FROM (SELECT o_orderkey AS k, o_orderkey*7919%1024 AS x, o_orderkey*104729%1024 AS y FROM orders)")
+def tile_bounds(spark, sf_dir):
+    k = F.col("o_orderkey")
+    t = _read(spark, sf_dir, "orders", k.alias("k"), (k * 7919 % 1024).alias("x"), (k * 104729 % 1024).alias("y"))
+    x, y, z = F.col("x"), F.col("y"), F.lit(10)
+    b = t.select("k", "x", "y", geo.xyz_bounds(x, y, z).alias("b"), geo.tms_bounds(x, y, z).alias("t"), geo.geodetic_bounds(x, y, z).alias("g"))
+    return b.select("k", "x", "y", *[F.round(f"b.{c}", 6).alias(c) for c in ("west", "south", "east", "north")], F.round("t.north", 6).alias("tms_north"), F.round("g.south", 6).alias("geo_south"))
+
+
+_SQL_ECEF = "radians(lon) AS lam, radians(lat) AS phi, 6378137.0/sqrt(1-0.0066943799901413165*sin(radians(lat))*sin(radians(lat))) AS n"
+
+
+@_query(f"WITH {_sql_points('customer', 'c_custkey', 'c_acctbal AS h')}, p AS (SELECT *, {_SQL_ECEF} FROM pts) SELECT k, round((n+h)*cos(phi)*cos(lam),3)+0 AS x, round((n+h)*cos(phi)*sin(lam),3)+0 AS y, round((n*(1-0.0066943799901413165)+h)*sin(phi),3)+0 AS z FROM p")
+def ecef_forward(spark, sf_dir):
+    p = _points(spark, sf_dir, "customer", "c_custkey", F.col("c_acctbal").alias("h")).select("k", geo.geodetic_to_ecef(F.col("lon"), F.col("lat"), F.col("h")).alias("p"))
+    return p.select("k", *[(F.round(f"p.{c}", 3) + F.lit(0.0)).alias(c) for c in "xyz"])
+
+
+@_query(f"WITH {_sql_points('orders', 'o_orderkey', 'floor(o_totalprice) AS h')} SELECT k, round(lon,6) AS lon, round(lat,6) AS lat, round(h,2) AS h FROM pts")
+def ecef_roundtrip(spark, sf_dir):
+    p = _points(spark, sf_dir, "orders", "o_orderkey", F.floor("o_totalprice").cast("double").alias("h")).select("k", geo.geodetic_to_ecef(F.col("lon"), F.col("lat"), F.col("h")).alias("p"))
+    return p.select("k", geo.ecef_to_geodetic(F.col("p")).alias("g")).select("k", F.round("g.lon", 6).alias("lon"), F.round("g.lat", 6).alias("lat"), F.round("g.h", 2).alias("h"))
+
+
+def _codec(name, encode_, decode_):
+    def run(spark, sf_dir):
+        e = F.col("l_extendedprice") / F.lit(10.0) - 2000
+        t = _read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", e.cast("float").alias("e")).withColumn("p", encode_(F.col("e")))
+        return t.select("l_orderkey", "l_linenumber", "p.r", "p.g", "p.b", F.round(decode_(F.col("p")).cast("double"), 2).alias("back"))
+
+    run.__name__ = name
+    return run
+
+
+_E = "SELECT l_orderkey, l_linenumber, CAST(l_extendedprice/10.0-2000 AS FLOAT) AS e FROM lineitem"
+_query(f"SELECT l_orderkey, l_linenumber, r, g, b, round(CAST(CAST(r*256+g+CAST(b AS FLOAT)/CAST(256 AS FLOAT) AS FLOAT)-CAST(32768 AS FLOAT) AS DOUBLE),2) AS back FROM (SELECT *, v>>16 AS r, (v>>8)&255 AS g, v&255 AS b FROM (SELECT *, CAST(trunc(least(greatest((e+CAST(32768 AS FLOAT))*CAST(256 AS FLOAT),0),16777215)) AS INT) AS v FROM ({_E})))")(_codec("terrarium_codec", codec.encode_terrarium, codec.decode_terrarium))
+_query(f"SELECT l_orderkey, l_linenumber, r, g, b, round(CAST(CAST(-10000 AS FLOAT)+CAST(v AS FLOAT)*CAST(0.1 AS FLOAT) AS DOUBLE),2) AS back FROM (SELECT *, v>>16 AS r, (v>>8)&255 AS g, v&255 AS b FROM (SELECT *, CAST(least(greatest(round((e+CAST(10000 AS FLOAT))*CAST(10 AS FLOAT)),0),16777215) AS INT) AS v FROM ({_E})))")(_codec("mapbox_codec", codec.encode_mapbox, codec.decode_mapbox))
+_query(f"SELECT l_orderkey, l_linenumber, r, g, b, round(CAST(CAST((CASE WHEN v<8388608 THEN v ELSE v-16777216 END)*0.01 AS FLOAT) AS DOUBLE),2) AS back FROM (SELECT *, v>>16 AS r, (v>>8)&255 AS g, v&255 AS b FROM (SELECT *, CAST(((CAST(round(CAST(e AS DOUBLE)*100) AS BIGINT)%16777216)+16777216)%16777216 AS INT) AS v FROM ({_E})))")(_codec("gsi_codec", codec.encode_gsi, codec.decode_gsi))
+
+
+@_query("SELECT l_orderkey, l_linenumber, v, round(v/5.0-1000,3) AS back FROM (SELECT l_orderkey, l_linenumber, CAST(round((least(greatest(l_extendedprice/4-3000,-1000),12107)+1000)*5) AS INT) AS v FROM lineitem)")
+def heightmap1_codec(spark, sf_dir):
+    v = codec.elevation_to_u16(F.col("l_extendedprice") / 4 - 3000)
+    return _read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", v.alias("v")).withColumn("back", F.round(codec.u16_to_elevation(F.col("v")), 3))
+
+
+@_query("SELECT p_partkey, m, m&1=1 AS sw, m&2=2 AS se, m&4=4 AS nw, m&8=8 AS ne FROM (SELECT p_partkey, CAST((CASE WHEN p_size%2=0 THEN 1 ELSE 0 END)+(CASE WHEN p_size%3=0 THEN 2 ELSE 0 END)+(CASE WHEN p_size%5=0 THEN 4 ELSE 0 END)+(CASE WHEN p_size%7=0 THEN 8 ELSE 0 END) AS INT) AS m FROM part)")
+def child_mask(spark, sf_dir):
+    s = F.col("p_size")
+    t = _read(spark, sf_dir, "part", "p_partkey", codec.child_mask(*[s % n == 0 for n in (2, 3, 5, 7)]).alias("m")).withColumn("f", codec.child_flags(F.col("m")))
+    return t.select("p_partkey", "m", "f.sw", "f.se", "f.nw", "f.ne")
+
+
+@_query("SELECT l_orderkey, l_linenumber, d AS back, CASE WHEN d>=0 THEN 2*d ELSE -2*d-1 END AS code FROM (SELECT l_orderkey, l_linenumber, l_partkey-l_suppkey*7 AS d FROM lineitem)")
+def zigzag_codec(spark, sf_dir):
+    t = _read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", codec.zigzag(F.col("l_partkey") - F.col("l_suppkey") * 7).alias("code"))
+    return t.select("l_orderkey", "l_linenumber", codec.unzigzag(F.col("code")).alias("back"), "code")
+
+
+# lineitem has rows with equal keys, so the place in a stream also needs the part
+_PLACE = "l_linenumber*1000000+l_partkey"
+
+
+@_query(f"SELECT l_orderkey, o, CAST((CASE WHEN d>=0 THEN 2*d ELSE -2*d-1 END)%65536 AS INT) AS code, CAST(v AS INT) AS back FROM (SELECT *, v-coalesce(lag(v) OVER (PARTITION BY l_orderkey ORDER BY o),0) AS d FROM (SELECT l_orderkey, {_PLACE} AS o, l_partkey%32768 AS v FROM lineitem))")
+def delta_stream(spark, sf_dir):
+    t = _read(spark, sf_dir, "lineitem", "l_orderkey", F.expr(_PLACE).alias("o"), (F.col("l_partkey") % 32768).alias("v"))
+    coded = streams.delta_encode(t, ["l_orderkey"], ["o"], "v")
+    return streams.delta_decode(coded, ["l_orderkey"], ["o"], out="back").select("l_orderkey", "o", "code", "back")
+
+
+@_query(f"SELECT l_orderkey, o, CAST(idx AS BIGINT) AS back, CAST(coalesce(max(idx) OVER (PARTITION BY l_orderkey ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),-1)+1-idx AS BIGINT) AS code FROM (SELECT l_orderkey, o, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY f)-1 AS idx FROM (SELECT l_orderkey, {_PLACE} AS o, min({_PLACE}) OVER (PARTITION BY l_orderkey, l_partkey%3) AS f FROM lineitem))")
+def high_water_stream(spark, sf_dir):
+    t = _read(spark, sf_dir, "lineitem", "l_orderkey", F.expr(_PLACE).alias("o"), (F.col("l_partkey") % 3).alias("g"))
+    t = t.withColumn("f", F.min("o").over(Window.partitionBy("l_orderkey", "g"))).withColumn("idx", F.dense_rank().over(Window.partitionBy("l_orderkey").orderBy("f")).cast("long") - 1)
+    coded = streams.high_water_encode(t, ["l_orderkey"], ["o"], "idx")
+    return streams.high_water_decode(coded, ["l_orderkey"], ["o"], out="back").select("l_orderkey", "o", F.col("back").cast("long").alias("back"), F.col("code").cast("long").alias("code"))
+
+
+@_query(_RTIN + "SELECT vec_id, CAST(mid AS INT) AS post, round(e,3) AS err FROM err WHERE e > 0")
+def rtin_errors(spark, sf_dir):
+    t = rtin.with_errors(_padded(spark, sf_dir), 8).select("vec_id", F.posexplode("err").alias("post", "e"))
+    return t.where("e > 0").select("vec_id", "post", F.round("e", 3).alias("err"))
+
+
+@_query(_RTIN + "SELECT vec_id, count(*) // 3 AS triangles, count(DISTINCT p) AS vertices FROM (SELECT vec_id, ay*9+ax AS p FROM kept UNION ALL SELECT vec_id, by_*9+bx FROM kept UNION ALL SELECT vec_id, cy*9+cx FROM kept) GROUP BY 1")
+def rtin_mesh_counts(spark, sf_dir):
+    m = rtin.mesh(_padded(spark, sf_dir), 8, 200.0)
+    return m.select("vec_id", (F.size("indices") / 3).cast("long").alias("triangles"), F.size("posts").cast("long").alias("vertices"))
+
+
+@_query(_RTIN + "SELECT vec_id, CAST(ay*9+ax AS INT) AS a, CAST(by_*9+bx AS INT) AS b, CAST(cy*9+cx AS INT) AS c FROM kept")
+def rtin_triangles(spark, sf_dir):
+    m = rtin.mesh(_padded(spark, sf_dir), 8, 200.0)
+    t = m.select("vec_id", "posts", "indices", F.explode(F.sequence(F.lit(0), (F.size("indices") / 3 - 1).cast("int"))).alias("i"))
+    return t.select("vec_id", *[F.get("posts", F.get("indices", F.col("i") * 3 + j)).alias(c) for j, c in enumerate("abc")])
+
+
+_VERTS = _RTIN + ", vp AS (SELECT DISTINCT vec_id, p FROM (SELECT vec_id, ay*9+ax AS p FROM kept UNION ALL SELECT vec_id, by_*9+bx FROM kept UNION ALL SELECT vec_id, cy*9+cx FROM kept)), vh AS (SELECT v.vec_id, v.p, o.h FROM vp v JOIN post o ON o.vec_id=v.vec_id AND o.p=v.p), rng AS (SELECT vec_id, min(h) lo, max(h) hi FROM vh GROUP BY 1) "
+
+
+@_query(_VERTS + "SELECT v.vec_id, CAST(round(v.p%9/8.0*32767) AS INT) AS uq, CAST(round((1-v.p//9/8.0)*32767) AS INT) AS vq, CASE WHEN hi>lo THEN CAST(round((h-lo)/(hi-lo)*32767) AS INT) ELSE 0 END AS hq FROM vh v JOIN rng USING (vec_id)")
+def height_range_quantize(spark, sf_dir):
+    m = rtin.mesh(_padded(spark, sf_dir), 8, 200.0).withColumn("vs", rtin.vertices(F.col("posts"), F.col("heights"), 8)).withColumn("r", quantize.height_range(F.col("vs")))
+    q = m.select("vec_id", quantize.quantised(F.col("vs"), F.col("r.lo"), F.col("r.hi")).alias("q")).select("vec_id", F.explode(F.arrays_zip("q.u", "q.v", "q.height")).alias("z"))
+    return q.select("vec_id", F.col("z.u").alias("uq"), F.col("z.v").alias("vq"), F.col("z.height").alias("hq"))
+
+
+@_query(_VERTS + "SELECT vec_id, count(*) FILTER (p%9=0) AS west, count(*) FILTER (p//9=8) AS south, count(*) FILTER (p%9=8) AS east, count(*) FILTER (p//9=0) AS north FROM vp GROUP BY 1")
+def edge_indices(spark, sf_dir):
+    m = encode.meshes(_flat_curve(spark, sf_dir), 8, encode.Options(max_error=200.0))
+    return m.select("vec_id", *[F.size(f"edges.{e}").cast("long").alias(e) for e in ("west", "south", "east", "north")])
+
+
+def _flat_curve(spark, sf_dir) -> DataFrame:
+    """Bounds so small that the curvature vanishes, for comparison with plain meshes."""
+    z = F.lit(0.0)
+    return _padded(spark, sf_dir).withColumn("bounds", geo.bounds(z, z, z, z))
+
+
+@_query("SELECT vec_id, z, startX AS start_x, startX + (1<<(z-7)) - 1 AS end_x, startY AS start_y, startY + (1<<(z-7)) - 1 AS end_y FROM (SELECT vec_id, CAST(z AS INT) AS z, (vec_id%20)*(1<<(z-7)) AS startX, (vec_id//20)*(1<<(z-7)) AS startY FROM embeddings, range(8,11) r(z))")
+def tile_descendants(spark, sf_dir):
+    t = _tiles(spark, sf_dir).select("vec_id", F.posexplode(avail.descendants(F.col("x").cast("long"), F.col("y").cast("long"), F.lit(7), F.lit(10))).alias("i", "r"))
+    return t.select("vec_id", (F.col("i") + 8).alias("z"), F.get("r", F.lit(0)).alias("q")).select("vec_id", "z", F.col("q.startX").alias("start_x"), F.col("q.endX").alias("end_x"), F.col("q.startY").alias("start_y"), F.col("q.endY").alias("end_y"))
+
+
+@_query(f"WITH {_sql_points('events', 'user_id')}, t AS (SELECT CAST(z AS INT) AS z, CAST(least(greatest(floor((lon+180)/360*(2<<z)),0),(2<<z)-1) AS BIGINT) x, CAST(least(greatest(floor((lat+90)/180*(1<<z)),0),(1<<z)-1) AS BIGINT) y FROM pts, range(0,6) r(z)) SELECT z, min(x) AS start_x, min(y) AS start_y, max(x) AS end_x, max(y) AS end_y FROM t GROUP BY 1")
+def tile_availability(spark, sf_dir):
+    p = _points(spark, sf_dir, "events", "user_id").withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    t = p.select("z", geo.lonlat_to_geodetic(F.col("lon"), F.col("lat"), F.col("z")).alias("t"))
+    return avail.available(t.select("z", "t.x", "t.y"))
+
+
+@_query("WITH m AS (SELECT o_custkey, count(*) AS n, min(v) AS lo, max(v) AS hi FROM (SELECT o_custkey, CASE WHEN o_orderkey%7=0 THEN 255 ELSE 0 END AS v FROM orders) GROUP BY 1) SELECT o_custkey, CASE WHEN lo=hi THEN 'uniform' ELSE 'grid' END AS kind, CAST(CASE WHEN lo=hi THEN lo END AS INT) AS uniform FROM m")
+def water_mask_collapse(spark, sf_dir):
+    t = _read(spark, sf_dir, "orders", "o_custkey", F.when(F.col("o_orderkey") % 7 == 0, 255).otherwise(0).alias("v")).groupBy("o_custkey").agg(F.collect_list("v").alias("v"))
+    full = F.flatten(F.array_repeat("v", F.ceil(F.lit(65536.0) / F.size("v")).cast("int")))
+    m = t.select("o_custkey", avail.collapsed_mask(full).alias("m"))
+    return m.select("o_custkey", "m.kind", "m.uniform")
+
+
+@_query("SELECT e.vec_id, CAST(g.i AS INT) AS post, round(CASE WHEN i%9<8 AND i//9<8 THEN e.embedding[i//9*8+i%9+1] WHEN i//9<8 THEN coalesce(r.embedding[i//9*8+1], e.embedding[i//9*8+8]) WHEN i%9<8 THEN coalesce(s.embedding[i%9+1], e.embedding[57+i%9]) ELSE coalesce(d.embedding[1], s.embedding[8], r.embedding[57], e.embedding[64]) END*1000,3) AS h FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS embedding, vec_id%20 AS x, vec_id//20 AS y FROM embeddings) e CROSS JOIN range(81) g(i) LEFT JOIN (SELECT CAST(embedding AS DOUBLE[]) AS embedding, vec_id%20 AS x, vec_id//20 AS y FROM embeddings) r ON r.x=e.x+1 AND r.y=e.y LEFT JOIN (SELECT CAST(embedding AS DOUBLE[]) AS embedding, vec_id%20 AS x, vec_id//20 AS y FROM embeddings) s ON s.x=e.x AND s.y=e.y+1 LEFT JOIN (SELECT CAST(embedding AS DOUBLE[]) AS embedding, vec_id%20 AS x, vec_id//20 AS y FROM embeddings) d ON d.x=e.x+1 AND d.y=e.y+1")
+def halo_pad(spark, sf_dir):
+    return resample.padded(_tiles(spark, sf_dir), 8).select("vec_id", F.posexplode("heights").alias("post", "v")).select("vec_id", "post", F.round("v", 3).alias("h"))
+
+
+_SQL_AXIS = "least(greatest(floor({v}),{lo}),{hi})"
+
+
+@_query(f"WITH {_sql_points('supplier', 's_suppkey')}, ax AS (SELECT k, (lon+180)/360*128*8-0.5 AS gx, (1-asinh(tan(radians(lat)))/pi())/2*128*8-0.5 AS gy FROM pts), pt AS (SELECT k, floor(gx) AS ix, floor(gy) AS iy, gx-floor(gx) AS tx, gy-floor(gy) AS ty FROM ax), px AS (SELECT vec_id%20*8+i%8 AS px, vec_id//20*8+i//8 AS py, CAST(embedding[i+1] AS DOUBLE)*1000 AS h FROM embeddings, range(64) r(i)), g AS (SELECT p.k, tx, ty, q.h, q.px=least(greatest(ix,0),159) AND q.py=least(greatest(iy,0),199) AS c00, least(greatest(ix,0),159) x0, least(greatest(ix+1,0),159) x1, least(greatest(iy,0),199) y0, least(greatest(iy+1,0),199) y1, q.px, q.py FROM pt p JOIN px q ON q.px IN (least(greatest(ix,0),159), least(greatest(ix+1,0),159)) AND q.py IN (least(greatest(iy,0),199), least(greatest(iy+1,0),199))), s AS (SELECT k, any_value(tx) tx, any_value(ty) ty, max(h) FILTER (px=x0 AND py=y0) a, max(h) FILTER (px=x1 AND py=y0) b, max(h) FILTER (px=x0 AND py=y1) c, max(h) FILTER (px=x1 AND py=y1) d FROM g GROUP BY 1) SELECT k, round((a+(b-a)*tx)+((c+(d-c)*tx)-(a+(b-a)*tx))*ty,3) AS h FROM s")
+def mercator_sample(spark, sf_dir):
+    block = F.struct(F.lit(0).cast("long").alias("x_lo"), F.lit(159).cast("long").alias("x_hi"), F.lit(0).cast("long").alias("y_lo"), F.lit(199).cast("long").alias("y_hi"))
+    ax, ay = resample.pixel_axes(F.col("lon"), F.col("lat"), F.lit(7), 8, block)
+    points = _points(spark, sf_dir, "supplier", "s_suppkey").select("k", ax.alias("ax"), ay.alias("ay"))
+    pixels = _tiles(spark, sf_dir).select("x", "y", F.posexplode("heights").alias("i", "h")).select((F.col("x") * 8 + F.col("i") % 8).cast("long").alias("px"), (F.col("y") * 8 + F.floor(F.col("i") / 8)).cast("long").alias("py"), "h")
+    return resample.sample(points, pixels, ["k"]).where(~F.isnan("h")).select("k", F.round("h", 3).alias("h"))
+
+
+@_query(f"WITH {_sql_points('nation', 'n_nationkey')} SELECT k, x0, y0, x1-x0+1 AS tiles_x, y1-y0+1 AS tiles_y FROM (SELECT k, CAST(floor((lon+180)/360*256) AS BIGINT) x0, CAST(floor((1-asinh(tan(radians(least(lat+3,85.05112877980659))))/pi())/2*256) AS BIGINT) y0, CAST(least(floor((least(lon+5,180)+180)/360*256),255) AS BIGINT) x1, CAST(floor((1-asinh(tan(radians(lat)))/pi())/2*256) AS BIGINT) y1 FROM pts)")
+def tiles_covering(spark, sf_dir):
+    p = _points(spark, sf_dir, "nation", "n_nationkey")
+    c = resample.covering(geo.bounds(F.col("lon"), F.col("lat"), F.col("lon") + 5, F.col("lat") + 3), F.lit(8))
+    return p.select("k", c.alias("c")).select("k", "c.x0", "c.y0", "c.tiles_x", "c.tiles_y")
+
+
+@_query(f"WITH {_sql_points('nation', 'n_nationkey')} SELECT k, CAST(gx AS INT) AS gx, CAST(gy AS INT) AS gy, round(lon+gx*0.25,6) AS lon, round(lat+2-gy*0.25,6) AS lat FROM pts, range(-1,10) a(gx), range(-1,10) b(gy)")
+def buffered_geodetic(spark, sf_dir):
+    p = _points(spark, sf_dir, "nation", "n_nationkey").select("k", geo.bounds(F.col("lon"), F.col("lat"), F.col("lon") + 2, F.col("lat") + 2).alias("bounds"))
+    return resample.geodetic_posts(p, 9, 1).select("k", "gx", "gy", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+
+
+@_query("SELECT vec_id, round(sqrt(x*x+y*y+z*z),6) AS length, true AS unit FROM (SELECT vec_id, 1.0 AS x, 0.0 AS y, 0.0 AS z FROM embeddings)")
+def gradient_normals(spark, sf_dir):
+    t = _padded(spark, sf_dir)
+    n = normals.gradient_normal(F.lit(0.5), F.lit(0.5), F.col("bounds"), F.col("heights"), 8, 0)
+    return t.select("vec_id", n.alias("n")).select("vec_id", F.round(geo.magnitude(F.col("n")), 6).alias("length"), (F.abs(geo.magnitude(F.col("n")) - 1) < 1e-9).alias("unit"))
+
+
+@_query("SELECT vec_id, true AS ok FROM embeddings")
+def encode_decode_identity(spark, sf_dir):
+    """Whether what a tile's bytes decode to is what was encoded."""
+    m = encode.meshes(_padded(spark, sf_dir), 8, encode.Options(max_error=200.0))
+    made = tilebytes.decode_tiles(tilebytes.encode_tiles(m, ["vec_id"], level=6), ["vec_id"])
+    same = (F.col("m.q.u") == F.col("d.u")) & (F.col("m.q.v") == F.col("d.v")) & (F.col("m.q.height") == F.col("d.height")) & (F.col("m.indices").cast("array<bigint>") == F.col("d.indices")) & (F.col("m.header") == F.col("d.header"))
+    return m.alias("m").join(made.alias("d"), "vec_id").select("vec_id", same.alias("ok"))
+
+
+@_query("SELECT vec_id, true AS ok FROM embeddings")
+def png_roundtrip(spark, sf_dir):
+    import pyarrow as pa
+
+    pixels = F.transform("heights", lambda h: codec.encode_terrarium(h))
+    t = _tiles(spark, sf_dir).select("vec_id", F.unhex(F.array_join(F.transform(pixels, lambda p: F.concat(*[F.lpad(F.hex(p[c]), 2, "0") for c in "rgb"])), "")).alias("rgb"))
+
+    def run(batches):
+        for b in batches:
+            ok = [png.read_png(png.write_png(x, 8, 8)) == (x, 8, 8) for x in b["rgb"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["vec_id"], pa.array(ok)], ["vec_id", "ok"])
+
+    return t.mapInArrow(run, "vec_id long, ok boolean")
+
 
+@_query()
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    """Tiles from grids to bytes and back: triangles, vertices and height range of each."""
+    tiles = encode.encode_terrain(_padded(spark, sf_dir), 8, ["vec_id"], encode.Options(max_error=200.0))
+    d = tilebytes.decode_tiles(tiles, ["vec_id"], sections=["header", "u", "indices"])
+    return d.select("vec_id", (F.size("indices") / 3).cast("long").alias("triangles"), F.size("u").cast("long").alias("vertices"), F.round("header.min_height", 1).alias("lo"), F.round("header.max_height", 1).alias("hi"))
 
 
 def queries() -> dict:
-    return {}
+    return dict(RUN)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
