@@ -5,8 +5,8 @@ A document's shingles are hashed; the b-bit signature has ``HASHES`` symbols of
 two signatures that differ in at most ``2 * CHUNKS - 1`` symbols have a chunk
 with at most one difference; so each chunk is indexed once for every symbol left
 out (the allowed error), and every pair within that distance shares a key. At a
-similarity of 0.8 a symbol differs with a probability under 0.2, so a pair
-exceeds the distance with a probability under three in a million.
+similarity of 0.8 a symbol differs with a probability of at most 0.2, so a pair
+exceeds the distance with a probability under four in a million (binomial tail).
 
 Pairs are confirmed on full shingle sets. To find components it isn't needed to
 compare all members of a key: first each is compared with one representative
