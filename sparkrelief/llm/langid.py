@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import is_held_out, read
+from .common import giving_back, is_held_out, read
 
 UNKNOWN = "und"
 #: The model learns from about so many labelled documents at most, chosen by a hash of the id.
@@ -168,7 +168,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             got = [m.predict(t, memo) for t in batch[text].to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
-    return docs.select(*kept).mapInArrow(judge, schema.add("lang_pred", "string").add("score", "double"))
+    return docs.select(*kept).mapInArrow(giving_back(judge), schema.add("lang_pred", "string").add("score", "double"))
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, mix, pair, partitions, read, shingle_hashes, staged, word_hashes
+from .common import U, giving_back, mix, pair, partitions, read, shingle_hashes, staged, word_hashes
 from .components import components
 
 #: Symbols of a signature, bits of a symbol, chunks of a signature.
@@ -204,7 +204,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
     """
     spark = docs.sparkSession
     source = docs.select("doc_id", "text")
-    signed = source.withColumn("text", F.col("text").cast("binary")).mapInArrow(_signed(shingle), "doc_id long, n_shingles long, set_hash binary, sig binary")
+    signed = source.withColumn("text", F.col("text").cast("binary")).mapInArrow(giving_back(_signed(shingle)), "doc_id long, n_shingles long, set_hash binary, sig binary")
     signed = staged(signed, "signed")
     able = signed.where("sig is not null and doc_id is not null")
     sets = staged(able.groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "sets")
@@ -233,7 +233,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
         pairs = staged(pairs, "pairs")
         text_a = source.select(F.col("doc_id").alias("a"), F.col("text").cast("binary").alias("text_a"))
         text_b = source.select(F.col("doc_id").alias("b"), F.col("text").cast("binary").alias("text_b"))
-        found = pairs.join(text_b.where("text_b is not null"), "b").join(text_a.where("text_a is not null"), "a").sortWithinPartitions("a").mapInArrow(_confirmed(shingle, percent), "a long, b long")
+        found = pairs.join(text_b.where("text_b is not null"), "b").join(text_a.where("text_a is not null"), "a").sortWithinPartitions("a").mapInArrow(giving_back(_confirmed(shingle, percent)), "a long, b long")
         found = staged(found, "found")
         if turn and not found.limit(1).count():
             continue
@@ -257,9 +257,9 @@ def _residual(labelled: DataFrame, sets: DataFrame, source: DataFrame, shingle:
     dealt = labelled.select("key", "id", "component", F.explode(block).alias("b")).select("key", "id", "component", "b.block", "b.side")
     open_ids = labelled.select("id").distinct()
     texts = source.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text")).where("text is not null")
-    short = staged(texts.join(open_ids, "id", "left_semi").mapInArrow(_short_sets(shingle), "id long, short binary").join(sets.select("id", "n_shingles", "sig"), "id"), "short")
+    short = staged(texts.join(open_ids, "id", "left_semi").mapInArrow(giving_back(_short_sets(shingle)), "id long, short binary").join(sets.select("id", "n_shingles", "sig"), "id"), "short")
     full = dealt.join(short, "id")
-    return full.repartition(partitions(labelled.sparkSession), "key", "block").sortWithinPartitions("key", "block", "id").mapInArrow(_across(percent), "a long, b long").distinct()
+    return full.repartition(partitions(labelled.sparkSession), "key", "block").sortWithinPartitions("key", "block", "id").mapInArrow(giving_back(_across(percent)), "a long, b long").distinct()
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import default_path, groups_of, loaded
-from .common import partitions, read, staged
+from .common import giving_back, partitions, read, staged
 
 CAPACITY = 4096
 #: Words remembered by a worker, twice over.
@@ -188,7 +188,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
                 cols = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(giving_back(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:

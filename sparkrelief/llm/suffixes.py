@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U, gram_hashes, mix, pair, partitions, read
+from .common import U, give_back, giving_back, gram_hashes, mix, pair, partitions, read
 
 LENGTH = 50
 #: Bytes of an anchor; a power of two plus eight.
@@ -245,7 +245,10 @@ def _context_rows(n: int):
             order = np.lexsort((docs, keys))
             order = order[np.diff(keys[order], prepend=~keys[order][:1]) != 0]
             rows = _dealt(batch, by[order], 2, keys[order], docs[order], sizes[order], lambda i, o=order: b"".join([texts[k] for k in o[i].tolist()]))
-        return pa.Table.from_pylist(rows, schema=_ROW)
+        made = pa.Table.from_pylist(rows, schema=_ROW)
+        del rows
+        give_back()
+        return made
 
     return run
 
@@ -418,6 +421,8 @@ def _removed(n: int, digest: bool):
                 n_spans.append(int(g[0]) + int((g[1:] & ~g[:-1]).sum()) if s else 0)
                 rest = w[~g].tobytes()
                 kept.append(hashlib.sha256(rest).digest() if digest else rest)
+        del strings, least, keys, docs
+        give_back()
         made = (pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary()))
         return pa.Table.from_arrays([left["row"], *made], ["row", "n_bytes", "n_removed", "n_spans", "kept"])
 
@@ -439,7 +444,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", digest: bool = False) ->
     source = docs.select(batch.alias("batch"), docs["doc_id"], F.coalesce(docs[text].cast("binary"), F.lit(b"")).alias("text"), rest.alias("row"))
     dealt = source.repartition(n, "batch")
     out = T.StructType([dealt.schema["row"], *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
-    anchors = dealt.mapInArrow(_anchor_rows(n), _ROW_SQL)
+    anchors = dealt.mapInArrow(giving_back(_anchor_rows(n)), _ROW_SQL)
     shared = anchors.groupBy("bucket").applyInArrow(_shared_anchors, _ROW_SQL).repartition(n, "batch")
     contexts = dealt.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(_context_rows(n), _ROW_SQL)
     earlier = contexts.groupBy("bucket").applyInArrow(_earlier, _ROW_SQL).repartition(n, "batch")
