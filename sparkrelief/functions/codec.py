@@ -102,6 +102,21 @@ def u16_to_elevation(v: Column) -> Column:
     return v / 5 - 1000
 
 
+def u16_bytes(values: Column, least: int = 0) -> Column:
+    """Values as 16-bit little-endian bytes; an error if there are fewer than ``least``."""
+    pair = lambda v: F.concat(F.lpad(F.hex(v.cast("long") % 256), 2, "0"), F.lpad(F.hex(F.floor(v / 256)), 2, "0"))
+    made = F.unhex(F.array_join(F.transform(values, pair), ""))
+    return F.when(F.size(values) < least, F.raise_error(F.lit(f"at least {least} values are needed"))).otherwise(made) if least else made
+
+
+def u16_values(content: Column) -> Column:
+    """The values of 16-bit little-endian bytes; an odd last byte is ignored."""
+    n = F.floor(F.octet_length(content) / 2).cast("int")
+    digits = F.hex(content)
+    value = lambda i: F.conv(F.concat(F.substr(digits, i * 4 + 3, F.lit(2)), F.substr(digits, i * 4 + 1, F.lit(2))), 16, 10).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), value)).otherwise(F.array().cast("array<int>"))
+
+
 def child_mask(sw: Column, se: Column, nw: Column, ne: Column) -> Column:
     out = F.lit(0)
     for c, bit in zip((sw, se, nw, ne), CHILD_BITS.values(), strict=True):

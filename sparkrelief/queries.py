@@ -224,6 +224,16 @@ def tile_availability(spark, sf_dir):
     return avail.available(t.select("z", "t.x", "t.y"))
 
 
+@_query(f"""WITH {_sql_points('events', 'user_id')}, t AS (SELECT CAST(z AS INT) AS z, CAST(least(greatest(floor((lon+180)/360*(2<<z)),0),(2<<z)-1) AS BIGINT) x, CAST(least(greatest(floor((lat+90)/180*(1<<z)),0),(1<<z)-1) AS BIGINT) y FROM pts, range(0,6) r(z)) , a AS (SELECT z, min(x) AS start_x, min(y) AS start_y, max(x) AS end_x, max(y) AS end_y FROM t GROUP BY 1)
+SELECT '{{"tilejson":"2.1.0","format":"quantized-mesh-1.0","version":"1.0.0","scheme":"tms","tiles":["{{z}}/{{x}}/{{y}}.terrain"],"available":[' || string_agg(printf('[{{"startX":%d,"startY":%d,"endX":%d,"endY":%d}}]', start_x, start_y, end_x, end_y), ',' ORDER BY z) || '],"minzoom":0,"maxzoom":5,"bounds":[-180.0,-90.0,180.0,90.0],"extensions":["octvertexnormals"]}}' AS json FROM a""")
+def layer_json(spark, sf_dir):
+    """The manifest of the tiles with events, without blanks; one row of one entry a zoom level."""
+    entry = F.struct("z", F.array(avail.rectangle(*[F.col(c) for c in ("start_x", "start_y", "end_x", "end_y")])).alias("r"))
+    levels = tile_availability(spark, sf_dir).agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e.r).alias("levels"))
+    text = avail.manifest(F.col("levels"), F.lit(0), F.lit(5), F.array(*map(F.lit, (-180.0, -90.0, 180.0, 90.0))), F.array(F.lit("octvertexnormals")))
+    return levels.select(F.regexp_replace(text, r"\s", "").alias("json"))
+
+
 @_query("WITH m AS (SELECT o_custkey, count(*) AS n, min(v) AS lo, max(v) AS hi FROM (SELECT o_custkey, CASE WHEN o_orderkey%7=0 THEN 255 ELSE 0 END AS v FROM orders) GROUP BY 1) SELECT o_custkey, CASE WHEN lo=hi THEN 'uniform' ELSE 'grid' END AS kind, CAST(CASE WHEN lo=hi THEN lo END AS INT) AS uniform FROM m")
 def water_mask_collapse(spark, sf_dir):
     t = _read(spark, sf_dir, "orders", "o_custkey", F.when(F.col("o_orderkey") % 7 == 0, 255).otherwise(0).alias("v")).groupBy("o_custkey").agg(F.collect_list("v").alias("v"))
@@ -262,11 +272,87 @@ def buffered_geodetic(spark, sf_dir):
     return resample.geodetic_posts(p, 9, 1).select("k", "gx", "gy", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 
-@_query("SELECT vec_id, round(sqrt(x*x+y*y+z*z),6) AS length, true AS unit FROM (SELECT vec_id, 1.0 AS x, 0.0 AS y, 0.0 AS z FROM embeddings)")
+_SQL_BOUNDS = "b AS (SELECT vec_id, (vec_id%20)*180/128.0-180 AS west, (vec_id//20)*180/128.0-90 AS south, (vec_id%20+1)*180/128.0-180 AS east, (vec_id//20+1)*180/128.0-90 AS north FROM embeddings)"
+
+
+def _sql_ecef(lon: str, lat: str, h: str) -> str:
+    """x, y and z of a point as SQL."""
+    a, e2 = geo.WGS84_A, geo.WGS84_E2
+    n = f"{a}/sqrt(1-{e2!r}*sin(radians({lat}))*sin(radians({lat})))"
+    return f"({n}+{h})*cos(radians({lat}))*cos(radians({lon})) AS x, ({n}+{h})*cos(radians({lat}))*sin(radians({lon})) AS y, ({n}*(1-{e2!r})+{h})*sin(radians({lat})) AS z"
+
+
+@_query(f"""WITH {_SQL_GRID}, {_SQL_BOUNDS}, g AS (SELECT vec_id, max(h) FILTER (gx=4 AND gy=4) AS m, max(h) FILTER (gx=3 AND gy=4) AS w, max(h) FILTER (gx=5 AND gy=4) AS e, max(h) FILTER (gx=4 AND gy=3) AS n, max(h) FILTER (gx=4 AND gy=5) AS s FROM grid GROUP BY 1),
+d AS (SELECT vec_id, radians((west+east)/2) AS lam, radians((south+north)/2) AS phi, ((e+m)/2-(m+w)/2)/((east-west)/8*radians({geo.WGS84_A})*cos(radians((south+north)/2))) AS dx, ((m+n)/2-(m+s)/2)/((north-south)/8*radians({geo.WGS84_A})) AS dy FROM g JOIN b USING (vec_id)),
+v AS (SELECT vec_id, dx*sin(lam)+dy*sin(phi)*cos(lam)+cos(phi)*cos(lam) AS x, -dx*cos(lam)+dy*sin(phi)*sin(lam)+cos(phi)*sin(lam) AS y, -dy*cos(phi)+sin(phi) AS z FROM d)
+SELECT vec_id, round(x/l,6)+0 AS nx, round(y/l,6)+0 AS ny, round(z/l,6)+0 AS nz FROM (SELECT *, sqrt(x*x+y*y+z*z) AS l FROM v)""")
 def gradient_normals(spark, sf_dir):
-    t = _padded(spark, sf_dir)
     n = normals.gradient_normal(F.lit(0.5), F.lit(0.5), F.col("bounds"), F.col("heights"), 8, 0)
-    return t.select("vec_id", n.alias("n")).select("vec_id", F.round(geo.magnitude(F.col("n")), 6).alias("length"), (F.abs(geo.magnitude(F.col("n")) - 1) < 1e-9).alias("unit"))
+    return _padded(spark, sf_dir).select("vec_id", n.alias("n")).select("vec_id", *[(F.round(f"n.{c}", 6) + F.lit(0.0)).alias(f"n{c}") for c in "xyz"])
+
+
+@_query("""WITH v AS (SELECT vec_id, i AS vid, CAST(i%8 AS DOUBLE) AS px, CAST(i//8 AS DOUBLE) AS py, CAST(embedding[i+1] AS DOUBLE) AS pz FROM embeddings, range(64) r(i)),
+t AS (SELECT s, gx, gy FROM range(7) p(gx), range(7) q(gy), range(2) k(s)),
+f AS (SELECT CASE WHEN s=0 THEN gy*8+gx ELSE gy*8+gx+1 END AS a, CASE WHEN s=0 THEN gy*8+gx+1 ELSE gy*8+gx+9 END AS b, gy*8+gx+8 AS c FROM t),
+x AS (SELECT a.vec_id, f.a, f.b, f.c, (b.py-a.py)*(c.pz-a.pz)-(b.pz-a.pz)*(c.py-a.py) AS nx, (b.pz-a.pz)*(c.px-a.px)-(b.px-a.px)*(c.pz-a.pz) AS ny, (b.px-a.px)*(c.py-a.py)-(b.py-a.py)*(c.px-a.px) AS nz FROM f JOIN v a ON a.vid=f.a JOIN v b ON b.vid=f.b AND b.vec_id=a.vec_id JOIN v c ON c.vid=f.c AND c.vec_id=a.vec_id),
+e AS (SELECT vec_id, unnest([a,b,c]) AS vid, CAST(CAST(nx AS FLOAT) AS DOUBLE) AS nx, CAST(CAST(ny AS FLOAT) AS DOUBLE) AS ny, CAST(CAST(nz AS FLOAT) AS DOUBLE) AS nz FROM x),
+s AS (SELECT vec_id, vid, sum(nx) AS nx, sum(ny) AS ny, sum(nz) AS nz FROM e GROUP BY 1,2)
+SELECT vec_id, CAST(vid AS INT) AS vid, round(nx/l,4)+0 AS nx, round(ny/l,4)+0 AS ny, round(nz/l,4)+0 AS nz FROM (SELECT *, sqrt(nx*nx+ny*ny+nz*nz) AS l FROM s)""")
+def face_normals(spark, sf_dir):
+    """Area-weighted normals of the full grid of each embedding, two triangles to a cell."""
+    posts = _read(spark, sf_dir, "embeddings", "vec_id", F.posexplode("embedding").alias("vid", "h"))
+    vertex = posts.select("vec_id", "vid", (F.col("vid") % 8).cast("double").alias("px"), F.floor(F.col("vid") / 8).cast("double").alias("py"), F.col("h").cast("double").alias("pz"))
+    corner = F.floor(F.col("cell") / 7).cast("int") * 8 + F.col("cell") % 7
+    cells = _read(spark, sf_dir, "embeddings", "vec_id", F.explode(F.sequence(F.lit(0), F.lit(48))).alias("cell")).withColumn("o", corner)
+    tri = lambda a, b, c: F.struct(*[(F.col("o") + k).alias(n) for n, k in (("a", a), ("b", b), ("c", c))])
+    triangle = cells.select("vec_id", "cell", F.posexplode(F.array(tri(0, 1, 8), tri(1, 9, 8))).alias("half", "t")).select("vec_id", (F.col("cell") * 2 + F.col("half")).alias("tid"), "t.a", "t.b", "t.c")
+    n = normals.face_normals(vertex, triangle, ["vec_id"])
+    return n.select("vec_id", "vid", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("nx", "ny", "nz")])
+
+
+@_query("""WITH n AS (SELECT vec_id, CAST(x/l AS FLOAT) AS x, CAST(y/l AS FLOAT) AS y, CAST(z/l AS FLOAT) AS z FROM (SELECT *, sqrt(x*x+y*y+z*z) AS l FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings))),
+p AS (SELECT vec_id, z, CAST(x/CAST(abs(x)+abs(y)+abs(z) AS FLOAT) AS FLOAT) AS px, CAST(y/CAST(abs(x)+abs(y)+abs(z) AS FLOAT) AS FLOAT) AS py FROM n),
+f AS (SELECT vec_id, CASE WHEN z<0 THEN CAST(CAST(1 AS FLOAT)-abs(py) AS FLOAT)*(CASE WHEN px>=0 THEN CAST(1 AS FLOAT) ELSE CAST(-1 AS FLOAT) END) ELSE px END AS u, CASE WHEN z<0 THEN CAST(CAST(1 AS FLOAT)-abs(px) AS FLOAT)*(CASE WHEN py>=0 THEN CAST(1 AS FLOAT) ELSE CAST(-1 AS FLOAT) END) ELSE py END AS v FROM p)
+SELECT vec_id, CAST(trunc((u*CAST(0.5 AS FLOAT)+CAST(0.5 AS FLOAT))*CAST(255 AS FLOAT)) AS INT) AS a, CAST(trunc((v*CAST(0.5 AS FLOAT)+CAST(0.5 AS FLOAT))*CAST(255 AS FLOAT)) AS INT) AS b FROM f""")
+def oct_codec(spark, sf_dir):
+    v = geo.normalised(geo.xyz(*[F.get("embedding", F.lit(i)).cast("double") for i in range(3)]))
+    return _read(spark, sf_dir, "embeddings", "vec_id", codec.oct_encode(v).alias("o")).select("vec_id", "o.a", "o.b")
+
+
+@_query("""WITH h AS (SELECT vec_id, i, CAST(round((least(greatest(CAST(embedding[i+1] AS DOUBLE)*1000,-1000),12107)+1000)*5) AS INT) AS v FROM embeddings, range(64) r(i))
+SELECT vec_id, string_agg(printf('%02X%02X', v%256, v//256), '' ORDER BY i) AS content, sum(v) AS total FROM h GROUP BY 1""")
+def heightmap1_bytes(spark, sf_dir):
+    """16-bit heights as bytes, and the sum of what they decode to."""
+    content = codec.u16_bytes(F.transform("heights", codec.elevation_to_u16), 64)
+    t = _tiles(spark, sf_dir).select("vec_id", content.alias("raw"))
+    return t.select("vec_id", F.hex("raw").alias("content"), F.aggregate(codec.u16_values(F.col("raw")), F.lit(0).cast("long"), lambda s, v: s + v).alias("total"))
+
+
+_SQL_SAMPLES = f"""{_SQL_BOUNDS}, r AS (SELECT b.*, list_min(embedding)::DOUBLE*1000 AS lo, list_max(embedding)::DOUBLE*1000 AS hi, (west+east)/2 AS ml, (south+north)/2 AS mp FROM b JOIN embeddings USING (vec_id)),
+corner AS (SELECT vec_id, unnest([west,west,west,west,east,east,east,east]) AS lon, unnest([south,south,north,north,south,south,north,north]) AS lat, unnest([lo,hi,lo,hi,lo,hi,lo,hi]) AS h FROM r),
+side AS (SELECT vec_id, unnest([west,east,ml,ml]) AS lon, unnest([mp,mp,south,north]) AS lat, hi, (lo+hi)/2 AS half FROM r),
+mid AS (SELECT vec_id, {_sql_ecef("ml", "mp", "(lo+hi)/2")} FROM r)"""
+
+
+@_query(f"""WITH {_SQL_SAMPLES}, p AS (SELECT vec_id, {_sql_ecef("lon", "lat", "h")} FROM (SELECT vec_id, lon, lat, h FROM corner UNION ALL SELECT vec_id, lon, lat, hi FROM side))
+SELECT m.vec_id, round(any_value(m.x),2)+0 AS cx, round(any_value(m.y),2)+0 AS cy, round(any_value(m.z),2)+0 AS cz, round(max(sqrt((p.x-m.x)**2+(p.y-m.y)**2+(p.z-m.z)**2)),2) AS radius FROM mid m JOIN p USING (vec_id) GROUP BY 1""")
+def bounding_sphere(spark, sf_dir):
+    t = _padded(spark, sf_dir).select("vec_id", "bounds", F.array_min("heights").alias("lo"), F.array_max("heights").alias("hi"))
+    s = t.select("vec_id", quantize.bounding_sphere(F.col("bounds"), F.col("lo"), F.col("hi")).alias("s"))
+    return s.select("vec_id", *[(F.round(f"s.centre.{c}", 2) + F.lit(0.0)).alias(f"c{c}") for c in "xyz"], F.round("s.radius", 2).alias("radius"))
+
+
+@_query(f"""WITH {_SQL_SAMPLES}, p AS (SELECT vec_id, {_sql_ecef("lon", "lat", "h")} FROM (SELECT vec_id, lon, lat, h FROM corner UNION ALL SELECT vec_id, lon, lat, half FROM side UNION ALL SELECT vec_id, ml, mp, hi FROM r)),
+s AS (SELECT vec_id, x/{geo.WGS84_A} AS x, y/{geo.WGS84_A} AS y, z/{geo.WGS84_B} AS z FROM p), d0 AS (SELECT vec_id, x/{geo.WGS84_A} AS x, y/{geo.WGS84_A} AS y, z/{geo.WGS84_B} AS z FROM mid),
+d AS (SELECT vec_id, x/l AS dx, y/l AS dy, z/l AS dz FROM (SELECT *, sqrt(x*x+y*y+z*z) AS l FROM d0)),
+k AS (SELECT vec_id, dx, dy, dz, greatest(sqrt(x*x+y*y+z*z),1) AS m, x*dx+y*dy+z*dz AS dot, sqrt((y*dz-z*dy)**2+(z*dx-x*dz)**2+(x*dy-y*dx)**2) AS crs FROM s JOIN d USING (vec_id)),
+w AS (SELECT vec_id, dx, dy, dz, dot/m/m - crs/m*sqrt(greatest(m*m-1,0))/m AS q FROM k),
+o AS (SELECT vec_id, dx, dy, dz, coalesce(max(1/q) FILTER (q>0),1) AS scale FROM w GROUP BY 1,2,3,4)
+SELECT vec_id, round(dx*scale,5)+0 AS hx, round(dy*scale,5)+0 AS hy, round(dz*scale,5)+0 AS hz FROM o""")
+def horizon_point(spark, sf_dir):
+    t = _padded(spark, sf_dir).select("vec_id", "bounds", F.array_min("heights").alias("lo"), F.array_max("heights").alias("hi"))
+    h = t.select("vec_id", quantize.horizon_point(F.col("bounds"), F.col("lo"), F.col("hi")).alias("p"))
+    return h.select("vec_id", *[(F.round(f"p.{c}", 5) + F.lit(0.0)).alias(f"h{c}") for c in "xyz"])
 
 
 @_query("SELECT vec_id, true AS ok FROM embeddings")

@@ -3,10 +3,14 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkrelief import queries
-from sparkrelief.operators import rtin
-from sparkrelief.sources import png, tilebytes
+from sparkrelief.functions import codec, geo
+from sparkrelief.operators import avail, rtin
+from sparkrelief.plans import encode
+from sparkrelief.sources import files, png, tilebytes
+from sparkrelief.streaming import arrivals
 
 SF = "/root/testdata/sf0.001"
 
@@ -80,3 +84,68 @@ def test_png():
     assert (w, h) == (6, 4) and rgb == bytes(x for i, x in enumerate(data) if i % 4 < 3)
     with pytest.raises(png.Unsupported):
         png.write_container("image/webp", data, 6, 4, 4)
+
+
+def test_u16_bytes(spark):
+    rows = [([4096, 300, 0, 65535],), ([],)]
+    made = spark.createDataFrame(rows, "v array<int>").select("v", codec.u16_bytes(F.col("v")).alias("c"))
+    back = made.select("v", "c", codec.u16_values(F.col("c")).alias("b"), codec.u16_values(F.concat("c", F.unhex(F.lit("07")))).alias("odd")).collect()
+    assert all(r.b == r.v == r.odd for r in back) and bytes(back[0].c) == b"\x00\x10\x2c\x01\0\0\xff\xff"
+    with pytest.raises(Exception, match="at least 5"):
+        made.select(codec.u16_bytes(F.col("v"), 5)).collect()
+
+
+def _grids(spark, n=2):
+    """Tiles of 5 by 5 posts with a spike in each."""
+    rows = [(k, 3, k, 1, [float(k * 10 + (i == 12) * 900) for i in range(25)]) for k in range(n)]
+    t = spark.createDataFrame(rows, "k long, z int, x int, y int, heights array<double>")
+    return t.withColumn("bounds", geo.geodetic_bounds(F.col("x").cast("long"), F.col("y").cast("long"), F.col("z")))
+
+
+def test_normals_reach_the_bytes(spark):
+    """Face and gradient normals of tiles, decoded again, point out of the ellipsoid."""
+    halo = F.array_repeat(F.lit(7.0), 49)
+    for mode in ("face", "gradient"):
+        made = encode.encode_terrain(_grids(spark).withColumn("halo", halo), 4, ["z", "x", "y"], encode.Options(max_error=5.0, normals=mode))
+        for r in made.collect():
+            d = tilebytes.decode_tile(r["content"])
+            assert len(d["normals"]) == 2 * len(d["u"]) > 8
+            c = d["header"]["center"]
+            c = [c[x] for x in "xyz"]
+            # a flat halo gives the up vector; of a gentle spike's faces all still face outwards
+            for a, b in zip(d["normals"][::2], d["normals"][1::2], strict=True):
+                x, y = a / 255 * 2 - 1, b / 255 * 2 - 1
+                z = 1 - abs(x) - abs(y)
+                if z < 0:
+                    x, y = (1 - abs(y)) * (1 if x >= 0 else -1), (1 - abs(x)) * (1 if y >= 0 else -1)
+                assert sum(p * q for p, q in zip((x, y, z), c, strict=True)) > 0
+    with pytest.raises(ValueError):
+        encode.Options(normals="other")
+
+
+def test_tile_tree(spark, tmp_path):
+    tiles = encode.encode_terrain(_grids(spark), 4, ["z", "x", "y"], encode.Options(max_error=5.0))
+    files.write_tree(tiles, str(tmp_path / "tree"))
+    key = lambda df: sorted((r.z, r.x, r.y, bytes(r.content)) for r in df.select("z", "x", "y", "content").collect())
+    assert key(files.read_tree(spark, str(tmp_path / "tree"))) == key(tiles)
+    files.write_table(tiles, str(tmp_path / "table"))
+    assert key(spark.read.parquet(str(tmp_path / "table"))) == key(tiles)
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    """Tiles that arrive in two lots, with a restart between them, give the rows of the batch plan, once each."""
+    grids, source, sink = _grids(spark, 4), str(tmp_path / "in"), str(tmp_path / "out")
+    for part in ("k < 2", "k >= 2"):
+        grids.where(part).write.mode("append").parquet(source)
+        arriving = spark.readStream.schema(grids.schema).parquet(source)
+        arrivals.encode_stream(arriving, 4, ["k"], sink, str(tmp_path / "log"), encode.Options(max_error=5.0)).awaitTermination(120)
+    key = lambda df: sorted((r.k, bytes(r.content)) for r in df.collect())
+    assert key(spark.read.parquet(sink)) == key(encode.encode_terrain(grids, 4, ["k"], encode.Options(max_error=5.0)))
+
+
+def test_manifest_roundtrip(spark):
+    m = spark.range(1).select(avail.manifest(F.array().cast("array<array<struct<startX:bigint>>>"), F.lit(0), F.lit(3), F.array(F.lit(0.0)), F.array().cast("array<string>")).alias("t"))
+    text = m.first().t
+    assert "available" not in text and "attribution" not in text
+    back = m.select(avail.read_manifest(F.col("t")).alias("m")).select("m.*").first()
+    assert (back.maxzoom, back.available, back.extensions, back.scheme) == (3, [], [], "tms")
