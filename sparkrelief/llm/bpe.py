@@ -114,17 +114,19 @@ class WordBPE:
             return self._merge_long(ids)
         ids = list(ids)
         todo = [get(a << 16 | b, NEVER) for a, b in zip(ids, ids[1:])]  # noqa: B905
-        while todo:
+        n = len(todo)
+        while n:
             best = min(todo)
             if best == NEVER:
                 break
             i = todo.index(best)
-            ids[i] = best & 0xFFFF
+            t = ids[i] = best & 0xFFFF
+            n -= 1
             del ids[i + 1], todo[i]
             if i:
-                todo[i - 1] = get(ids[i - 1] << 16 | ids[i], NEVER)
-            if i < len(todo):
-                todo[i] = get(ids[i] << 16 | ids[i + 1], NEVER)
+                todo[i - 1] = get(ids[i - 1] << 16 | t, NEVER)
+            if i < n:
+                todo[i] = get(t << 16 | ids[i + 1], NEVER)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
