@@ -18,8 +18,10 @@ from .common import U, is_held_out, pair, read, word_hashes
 BUCKETS = 1 << 20
 #: Labelled documents learned from at most (about), chosen by a hash of the id.
 MAX_TRAIN_DOCS = 12_000
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 8.0, 0.5
-EPOCHS = 6
+#: Rate, its offset, sparsity, shrinkage and epochs, chosen by log loss on a part of the training rows (crc32 mod 4 is 1,
+#: fitted on 0 and 3); held-out rows had no part in it.
+ALPHA, BETA, L1, L2 = 1.2, 1.0, 16.0, 0.5
+EPOCHS = 8
 THRESHOLD = 0.3
 _BLANKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
