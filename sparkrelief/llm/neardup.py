@@ -33,7 +33,9 @@ DISTANCE = 2 * CHUNKS - 1
 _EACH = HASHES // CHUNKS
 #: Members of one key compared in one block.
 BLOCK = 2048
-#: Pairs of a document and a representative, by the round.
+#: Pairs of one document that are confirmed in one place.
+PART = 512
+#: Rounds that compare members of a key with one representative.
 STAR_ROUNDS = 2
 _SEED = np.random.default_rng(7)
 _A = _SEED.integers(1, 1 << 63, HASHES, dtype=np.int64).astype(U) | U(1)
@@ -100,25 +102,51 @@ def _near(batches):
 
 
 def _confirmed(shingle: int, percent: int):
-    """Pairs of texts whose shingle sets reach the similarity."""
+    """Pairs of texts whose shingle sets reach the similarity, from rows sorted by group: the text of ``a`` (``b`` null), then those of its ``b``."""
 
     def run(batches):
-        last, kept = None, None
+        group, kept = None, []
         for batch in batches:
-            a_ids, b_ids, a_texts, b_texts = (batch[c].to_pylist() for c in ("a", "b", "text_a", "text_b"))
-            ok = []
-            for i, s in zip(a_ids, a_texts, strict=True):
-                if i != last:
-                    last, kept = i, shingle_hashes(word_hashes(s), shingle)
-                t = shingle_hashes(word_hashes(b_texts[len(ok)]), shingle)
-                both = len(kept) + len(t) - len(np.union1d(kept, t))
-                ok.append(100 * both >= percent * (len(kept) + len(t) - both))
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(a_ids, pa.int64()).filter(keep), pa.array(b_ids, pa.int64()).filter(keep)], ["a", "b"])
+            out = []
+            for a, part, b, text in zip(*[batch[c].to_pylist() for c in ("a", "part", "b", "text")], strict=True):
+                if (a, part) != group:
+                    group, kept = (a, part), []
+                t = shingle_hashes(word_hashes(text), shingle)
+                if b is None:
+                    # an id with several rows has several texts
+                    if not any(np.array_equal(k, t) for k in kept):
+                        kept.append(t)
+                    continue
+                for k in kept:
+                    both = len(k) + len(t) - len(np.union1d(k, t))
+                    if 100 * both >= percent * (len(k) + len(t) - both):
+                        out.append((a, b))
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], ["a", "b"])
 
     return run
 
 
+def _with_texts(pairs: DataFrame, source: DataFrame) -> DataFrame:
+    """(a, part, b, text): each pair's text of ``b``, and the text of ``a`` once for each part of its pairs.
+
+    A part has about ``PART`` pairs. The pairs of one ``a`` are first gathered by a hash of ``b``, so that an id
+    with very many pairs is spread before it is counted.
+    """
+    spread = partitions(pairs.sparkSession)
+    gathered = pairs.groupBy("a", F.pmod(F.xxhash64("b"), F.lit(spread)).alias("slot")).agg(F.collect_list("b").alias("bs"))
+    gathered = staged(gathered, "gathered")
+    parts = gathered.groupBy("a").agg(F.ceil(F.sum(F.size("bs")) / PART).alias("parts"))
+    dealt = gathered.join(parts, "a").select("a", F.pmod("slot", F.least("parts", F.lit(spread))).cast("int").alias("part"), F.explode("bs").alias("b"))
+    # written, so that few pairs are known to be few and texts needn't be dealt to meet them
+    dealt = staged(dealt, "dealt")
+    heads = staged(dealt.select("a", "part").distinct(), "heads")
+    texts = source.select("doc_id", F.col("text").cast("binary").alias("text")).where("text is not null")
+    of_b = dealt.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "part", "b", "text")
+    of_a = heads.join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "text")
+    return of_a.union(of_b).repartition(spread, "a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
+
+
 def _short_sets(shingle: int):
     """Sorted 32-bit hashes of each text's shingles."""
 
@@ -231,9 +259,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
             with_b = with_a.join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("n_shingles").alias("n_b")), "b")
             pairs = with_b.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b", "sig_a", "sig_b").mapInArrow(_near, "a long, b long")
         pairs = staged(pairs, "pairs")
-        text_a = source.select(F.col("doc_id").alias("a"), F.col("text").cast("binary").alias("text_a"))
-        text_b = source.select(F.col("doc_id").alias("b"), F.col("text").cast("binary").alias("text_b"))
-        found = pairs.join(text_b.where("text_b is not null"), "b").join(text_a.where("text_a is not null"), "a").sortWithinPartitions("a").mapInArrow(giving_back(_confirmed(shingle, percent)), "a long, b long")
+        found = _with_texts(pairs, source).mapInArrow(giving_back(_confirmed(shingle, percent)), "a long, b long")
         found = staged(found, "found")
         if turn and not found.limit(1).count():
             continue

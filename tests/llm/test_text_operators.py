@@ -65,6 +65,40 @@ def test_near_duplicates(docs, none):
     assert neardup.one_of_each(docs).columns == docs.columns
 
 
+def _shingles(text, n):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+@pytest.mark.parametrize("block, part", [(2048, 512), (2, 1)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, block, part):
+    """Chains of edits around the threshold, a large group of copies, repeated rows, null ids; the small settings cut every key into blocks."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "PART", part)
+    rng = np.random.default_rng(5)
+    texts = [None, "", " \t\n", "One", "one", "ONE two three"]
+    for _ in range(6):
+        words = [f"w{x}" for x in rng.integers(0, 400, 90)]
+        for _ in range(14):
+            texts.append(" ".join(words))
+            for at in rng.integers(0, len(words), int(rng.integers(1, 4))):
+                words[at] = f"v{rng.integers(0, 10**6)}"
+    texts += [BASE + BASE.upper() + "Z"] * 40
+    rows = list(enumerate(texts)) + [(8, texts[8])]
+    sets = [_shingles(t, 4) for _, t in rows]
+    root = {i: i for i, _ in rows}
+    for _ in range(30):
+        for (i, _), s in zip(rows, sets):
+            for (j, _), t in zip(rows, sets):
+                if s and t and 100 * len(s & t) >= 80 * len(s | t):
+                    root[i] = root[j] = min(root[i], root[j])
+    docs = spark.createDataFrame([*rows, (None, "one")], "doc_id long, text string")
+    got = [tuple(r) for r in neardup.near_duplicates(docs).collect()]
+    want = [(i, len(s), root[i], root[i] == i) for (i, _), s in zip(rows, sets)] + [(None, 1, None, True)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert 10 < len(set(root.values())) < 60
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 60, (45, 2))] + [(i, i + 1) for i in range(100, 140)]
