@@ -28,6 +28,11 @@ def _axis(value: Column, low: Column, high: Column) -> Column:
     return F.struct(clamp(i).alias("p0"), clamp(i + 1).alias("p1"), (value - i).alias("t"))
 
 
+def block_limits(pixels: DataFrame) -> DataFrame:
+    """One row: struct ``block`` with the inclusive limits x_lo, x_hi, y_lo, y_hi of pixels(px, py)."""
+    return pixels.agg(F.min("px").alias("x_lo"), F.max("px").alias("x_hi"), F.min("py").alias("y_lo"), F.max("py").alias("y_hi")).select(F.struct("x_lo", "x_hi", "y_lo", "y_hi").alias("block"))
+
+
 def pixel_axes(lon: Column, lat: Column, z: Column, tile_size: int, block: Column) -> tuple[Column, Column]:
     """Positions along both axes; ``block`` has the inclusive pixel limits x_lo, x_hi, y_lo, y_hi."""
     world = geo.tile_count(z) * tile_size

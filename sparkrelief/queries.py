@@ -50,6 +50,12 @@ def _tiles(spark, sf_dir, extra=()) -> DataFrame:
     return _read(spark, sf_dir, "embeddings", "vec_id", h.alias("heights"), x.alias("x"), y.alias("y"))
 
 
+def _pixels(spark, sf_dir) -> DataFrame:
+    """px, py, h of all tiles side by side."""
+    t = _tiles(spark, sf_dir).select("x", "y", F.posexplode("heights").alias("i", "h"))
+    return t.select((F.col("x") * 8 + F.col("i") % 8).cast("long").alias("px"), (F.col("y") * 8 + F.floor(F.col("i") / 8)).cast("long").alias("py"), "h")
+
+
 def _padded(spark, sf_dir) -> DataFrame:
     """9 by 9 grids: the last column and row again."""
     t = _tiles(spark, sf_dir)
@@ -252,11 +258,10 @@ _SQL_AXIS = "least(greatest(floor({v}),{lo}),{hi})"
 
 @_query(f"WITH {_sql_points('supplier', 's_suppkey')}, ax AS (SELECT k, (lon+180)/360*128*8-0.5 AS gx, (1-asinh(tan(radians(lat)))/pi())/2*128*8-0.5 AS gy FROM pts), pt AS (SELECT k, floor(gx) AS ix, floor(gy) AS iy, gx-floor(gx) AS tx, gy-floor(gy) AS ty FROM ax), px AS (SELECT vec_id%20*8+i%8 AS px, vec_id//20*8+i//8 AS py, CAST(embedding[i+1] AS DOUBLE)*1000 AS h FROM embeddings, range(64) r(i)), g AS (SELECT p.k, tx, ty, q.h, q.px=least(greatest(ix,0),159) AND q.py=least(greatest(iy,0),199) AS c00, least(greatest(ix,0),159) x0, least(greatest(ix+1,0),159) x1, least(greatest(iy,0),199) y0, least(greatest(iy+1,0),199) y1, q.px, q.py FROM pt p JOIN px q ON q.px IN (least(greatest(ix,0),159), least(greatest(ix+1,0),159)) AND q.py IN (least(greatest(iy,0),199), least(greatest(iy+1,0),199))), s AS (SELECT k, any_value(tx) tx, any_value(ty) ty, max(h) FILTER (px=x0 AND py=y0) a, max(h) FILTER (px=x1 AND py=y0) b, max(h) FILTER (px=x0 AND py=y1) c, max(h) FILTER (px=x1 AND py=y1) d FROM g GROUP BY 1) SELECT k, round((a+(b-a)*tx)+((c+(d-c)*tx)-(a+(b-a)*tx))*ty,3) AS h FROM s")
 def mercator_sample(spark, sf_dir):
-    block = F.struct(F.lit(0).cast("long").alias("x_lo"), F.lit(159).cast("long").alias("x_hi"), F.lit(0).cast("long").alias("y_lo"), F.lit(199).cast("long").alias("y_hi"))
-    ax, ay = resample.pixel_axes(F.col("lon"), F.col("lat"), F.lit(7), 8, block)
-    points = _points(spark, sf_dir, "supplier", "s_suppkey").select("k", ax.alias("ax"), ay.alias("ay"))
-    pixels = _tiles(spark, sf_dir).select("x", "y", F.posexplode("heights").alias("i", "h")).select((F.col("x") * 8 + F.col("i") % 8).cast("long").alias("px"), (F.col("y") * 8 + F.floor(F.col("i") / 8)).cast("long").alias("py"), "h")
-    return resample.sample(points, pixels, ["k"]).where(~F.isnan("h")).select("k", F.round("h", 3).alias("h"))
+    pixels = _pixels(spark, sf_dir)
+    ax, ay = resample.pixel_axes(F.col("lon"), F.col("lat"), F.lit(7), 8, F.col("block"))
+    points = _points(spark, sf_dir, "supplier", "s_suppkey").crossJoin(F.broadcast(resample.block_limits(pixels))).select("k", ax.alias("ax"), ay.alias("ay"))
+    return resample.sample(points, pixels, ["k"]).select("k", F.round("h", 3).alias("h"))
 
 
 @_query(f"WITH {_sql_points('nation', 'n_nationkey')} SELECT k, x0, y0, x1-x0+1 AS tiles_x, y1-y0+1 AS tiles_y FROM (SELECT k, CAST(floor((lon+180)/360*256) AS BIGINT) x0, CAST(floor((1-asinh(tan(radians(least(lat+3,85.05112877980659))))/pi())/2*256) AS BIGINT) y0, CAST(least(floor((least(lon+5,180)+180)/360*256),255) AS BIGINT) x1, CAST(floor((1-asinh(tan(radians(lat)))/pi())/2*256) AS BIGINT) y1 FROM pts)")

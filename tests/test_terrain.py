@@ -1,5 +1,6 @@
 """Every registered query against its SQL oracle at the smallest scale, and the byte codecs by round trips."""
 
+import math
 import random
 
 import pytest
@@ -149,3 +150,34 @@ def test_manifest_roundtrip(spark):
     assert "available" not in text and "attribution" not in text
     back = m.select(avail.read_manifest(F.col("t")).alias("m")).select("m.*").first()
     assert (back.maxzoom, back.available, back.extensions, back.scheme) == (3, [], [], "tms")
+
+
+def _height_at(pixels, gx, gy):
+    """Brute force: bilinear height in a dict of (px, py), clamped to its limits; NaN gives way."""
+    lim = [(min(a), max(a)) for a in zip(*pixels)]
+    cl = lambda v, k: max(lim[k][0], min(v, lim[k][1]))
+    mix = lambda a, b, t: b if math.isnan(a) else a if math.isnan(b) else a + (b - a) * t
+    ix, iy = math.floor(gx), math.floor(gy)
+    at = lambda i, j: pixels.get((cl(ix + i, 0), cl(iy + j, 1)), math.nan)
+    return mix(mix(at(0, 0), at(1, 0), gx - ix), mix(at(0, 1), at(1, 1), gx - ix), gy - iy)
+
+
+def _pixel_position(lon, lat, world=1024):
+    return (lon + 180) / 360 * world - 0.5, (1 - math.asinh(math.tan(math.radians(lat))) / math.pi) / 2 * world - 0.5
+
+
+def _written_tiles(spark, folder, ids):
+    """embeddings with the tiles ``ids``, and their pixels."""
+    rng = random.Random(3)
+    rows = [(v, [rng.randrange(-500, 500) / 1000 for _ in range(64)]) for v in ids]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{folder}/embeddings.parquet")
+    return {(v % 20 * 8 + i % 8, v // 20 * 8 + i // 8): 1000 * e for v, h in rows for i, e in enumerate(h)}
+
+
+def test_mercator_sample_uses_all_tiles(spark, tmp_path):
+    """More than 500 tiles, with ten rows of tiles missing: the block has all of them, and points without pixels stay."""
+    pixels = _written_tiles(spark, tmp_path, [v for v in range(1400) if not 30 <= v // 20 < 40])
+    spark.createDataFrame([(k,) for k in range(1, 151)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {r.k: r.h for r in queries.mercator_sample(spark, str(tmp_path)).collect()}
+    want = {k: _height_at(pixels, *_pixel_position(k * 2654435761 % 3600001 / 10000 - 180, k * 40503 % 1700001 / 10000 - 85)) for k in range(1, 151)}
+    assert sum(map(math.isnan, want.values())) > 0 and got == pytest.approx(want, abs=2e-3, nan_ok=True)
