@@ -210,6 +210,46 @@ def test_urls(spark):
     assert urls.judge_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_host_scores_equal_brute_force_pagerank(spark):
+    """Scores and verdicts against a linear solve: hosts linked both ways with seeds of both kinds, and a chain of 12 links to a blocked host."""
+    pages = [(f"a{i}.sub.net", "/de/" if i % 3 else "/x/") for i in range(6)] + [("sub.net", "/x/")] + [(f"c{i}.it", "/x/") for i in range(13)] + [("z.org", "/es/")]
+    pages += [("p.net", "/de/1"), ("www.p.net", "/y"), ("q.org", "/y"), ("q.org", "/es/1")]
+    links = {"c0.it": ["z.org"], **{f"c{i}.it": [f"c{i - 1}.it"] for i in range(1, 13)}, "www.p.net": ["q.org", "q.org"], "sub.net": ["z.org", "c3.it"]}
+    rows = [(i, f"http://{h}{p}", "".join(f'<a href="http://{t}/">' for t in links.get(h, []))) for i, (h, p) in enumerate(pages)]
+    hosts = sorted({h for h, _ in pages})
+    n = {h: i for i, h in enumerate(hosts)}
+    w = np.zeros((len(hosts), len(hosts)))
+    for h, _ in pages:
+        for t in links.get(h, []):
+            w[n[h], n[t]] += 1
+    for h in hosts:
+        up = h.partition(".")[2]
+        if up in n:
+            w[n[h], n[up]] += 1
+            w[n[up], n[h]] += 1
+    seed = {"allow": np.zeros(len(hosts)), "block": np.zeros(len(hosts))}
+    rule = lambda h, p: "allow" if h.endswith("net") and p.startswith("/de/") else "block" if h.endswith("org") and p.startswith("/es/") else None
+    for h, p in pages:
+        if r := rule(h, p):
+            seed[r][n[h]] += 1 / sum(x == h for x, _ in pages)
+
+    def solved(w, s):
+        total = w.sum(1, keepdims=True)
+        return np.linalg.solve(np.eye(len(hosts)) - urls.DAMPING * np.divide(w, total, out=np.zeros_like(w), where=total > 0).T, (1 - urls.DAMPING) * s)
+
+    trust, distrust = solved(w, seed["allow"]), solved(w.T, seed["block"])
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    host, path = urls.host_path(urls.F.col("url"))
+    hosted = frame.select("html", host.alias("host"), path.alias("path"))
+    judged = hosted.select("host", urls.longest_rule(urls.F.col("host"), urls.F.col("path"))[1].alias("rule_verdict"))
+    got = {r["host"]: (r["trust"], r["distrust"]) for r in urls.host_scores(judged, urls._edges(hosted.select("host", "html"))).collect()}
+    for h in hosts:
+        assert got.get(h, (0, 0)) == pytest.approx((trust[n[h]], distrust[n[h]]), abs=1e-6), h
+    assert distrust[n["c10.it"]] > 0
+    want = {i: rule(h, p) or ("block" if distrust[n[h]] > max(trust[n[h]], urls.THRESHOLD) else "allow") for i, (h, p) in enumerate(pages)}
+    assert {r["page_id"]: r["verdict"] for r in urls.judge_urls(frame).collect()} == want and len(set(want.values())) == 2
+
+
 def test_ann_recall(spark):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(600, 16))
