@@ -62,6 +62,15 @@ def geodetic_posts(boxes: DataFrame, grid_size: int, buffer: int = 0) -> DataFra
     return rows.withColumn("gx", F.explode(span)).withColumn("lon", b.west + F.col("gx") * (geo.width(b) / n))
 
 
+def geodetic_grid(boxes: DataFrame, pixels: DataFrame, z: Column, tile_size: int, grid_size: int, keys: list[str], buffer: int = 0) -> DataFrame:
+    """``boxes`` (keys, ``bounds``) with ``heights`` sampled from mercator pixels at (grid_size + 2 buffer)² posts, north to south; NaN without pixels."""
+    posts = geodetic_posts(boxes.select(*keys, "bounds"), grid_size, buffer).crossJoin(F.broadcast(block_limits(pixels)))
+    ax, ay = pixel_axes(F.col("lon"), F.col("lat"), z, tile_size, F.col("block"))
+    at = sample(posts.select(*keys, "gx", "gy", ax.alias("ax"), ay.alias("ay")), pixels, [*keys, "gx", "gy"])
+    packed = at.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("gy", "gx", "h"))), lambda s: s.h).alias("heights"))
+    return boxes.join(packed, keys)
+
+
 def padded(tiles: DataFrame, size: int) -> DataFrame:
     """tiles(x, y, heights of size²) with ``heights`` of (size+1)²: the first posts of the neighbours to the east and south, or the own edge again."""
     side = lambda dx, dy, name: tiles.select((F.col("x") - dx).alias("x"), (F.col("y") - dy).alias("y"), F.col("heights").alias(name))

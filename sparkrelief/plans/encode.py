@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codec, geo
 from ..operators import normals as nrm
-from ..operators import quantize, rtin, streams
+from ..operators import quantize, resample, rtin, streams
 from ..sources import tilebytes
 
 
@@ -67,3 +67,17 @@ def encode_terrain(tiles: DataFrame, cells: int, keys: list[str], options: Optio
     if options.normals == "face":
         made = with_face_normals(made, keys)
     return tilebytes.encode_tiles(made, keys, options.level)
+
+
+def encode_rasters(boxes: DataFrame, pixels: DataFrame, z: Column, tile_size: int, cells: int, keys: list[str], options: Options | None = None) -> DataFrame:
+    """keys and ``content`` of the tiles over ``boxes`` (keys, ``bounds``), with heights from the mercator pixels(px, py, h) of zoom ``z``."""
+    options = options or Options()
+    buffer, side = options.buffer if options.normals == "gradient" else 0, cells + 1
+    tiles = resample.geodetic_grid(boxes, pixels, z, tile_size, side, keys, buffer)
+    if buffer:
+        full = side + 2 * buffer
+        inner = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(cells)), lambda j: F.slice("halo", (j + buffer) * full + buffer + 1, F.lit(side))))
+        tiles = tiles.withColumnRenamed("heights", "halo").withColumn("heights", inner)
+    elif options.normals == "gradient":
+        tiles = tiles.withColumn("halo", F.col("heights"))
+    return encode_terrain(tiles, cells, keys, options)

@@ -277,6 +277,49 @@ def buffered_geodetic(spark, sf_dir):
     return resample.geodetic_posts(p, 9, 1).select("k", "gx", "gy", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 
+_SQL_PIXELS = "px AS (SELECT vec_id%20*8+i%8 AS px, vec_id//20*8+i//8 AS py, CAST(embedding[i+1] AS DOUBLE)*1000 AS h FROM embeddings, range(64) r(i)), lim AS (SELECT min(px) AS xl, max(px) AS xh, min(py) AS yl, max(py) AS yh FROM px)"
+
+
+def _sql_grid_heights(buffer: int) -> str:
+    """Heights at the posts of ``_boxes``."""
+    axis = ", ".join(_SQL_AXIS.format(v=f"{c}+{d}", lo=f"{c}l", hi=f"{c}h") + f" AS {c}{d}" for c in "xy" for d in (0, 1))
+    corners = " ".join(f"JOIN px {n} ON {n}.px=x{i} AND {n}.py=y{j}" for n, i, j in (("a", 0, 0), ("b", 1, 0), ("c", 0, 1), ("d", 1, 1)))
+    return f"""WITH {_SQL_PIXELS}, pt AS (SELECT CAST(n_nationkey AS BIGINT) AS k, CAST(gx AS INT) AS gx, CAST(gy AS INT) AS gy, CAST(n_nationkey AS DOUBLE)*2-179.5+gx*0.25 AS lon, CAST(n_nationkey%10 AS DOUBLE)+75.5-gy*0.25 AS lat FROM nation, range({-buffer},{9 + buffer}) s(gx), range({-buffer},{9 + buffer}) t(gy)),
+ax AS (SELECT k, gx, gy, (lon+180)/360*1024-0.5 AS x, (1-asinh(tan(radians(lat)))/pi())/2*1024-0.5 AS y FROM pt), q AS (SELECT k, gx, gy, x-floor(x) AS tx, y-floor(y) AS ty, {axis} FROM ax, lim)
+SELECT k, gx, gy, round((a.h+(b.h-a.h)*tx)+((c.h+(d.h-c.h)*tx)-(a.h+(b.h-a.h)*tx))*ty,3)+0 AS h FROM q {corners}"""
+
+
+def _boxes(spark, sf_dir) -> DataFrame:
+    """Boxes of two degrees over the raster of the tiles, one for each nation."""
+    k = F.col("n_nationkey").cast("long")
+    west, south = k.cast("double") * 2 - 179.5, (k % 10).cast("double") + 73.5
+    return _read(spark, sf_dir, "nation", k.alias("k"), geo.bounds(west, south, west + 2, south + 2).alias("bounds"))
+
+
+def _grid_heights(spark, sf_dir, buffer: int) -> DataFrame:
+    side = 9 + 2 * buffer
+    g = resample.geodetic_grid(_boxes(spark, sf_dir), _pixels(spark, sf_dir), F.lit(7), 8, 9, ["k"], buffer).select("k", F.posexplode("heights").alias("i", "h"))
+    return g.select("k", (F.col("i") % side - buffer).alias("gx"), (F.floor(F.col("i") / side) - buffer).cast("int").alias("gy"), (F.round("h", 3) + F.lit(0.0)).alias("h"))
+
+
+@_query(_sql_grid_heights(0))
+def geodetic_grid(spark, sf_dir):
+    return _grid_heights(spark, sf_dir, 0)
+
+
+@_query(_sql_grid_heights(1))
+def buffered_geodetic_heights(spark, sf_dir):
+    return _grid_heights(spark, sf_dir, 1)
+
+
+@_query()
+def raster_tiles(spark, sf_dir):
+    """Tiles from a mercator raster to bytes and back: triangles, vertices, height range and bytes of normals of each."""
+    tiles = encode.encode_rasters(_boxes(spark, sf_dir), _pixels(spark, sf_dir), F.lit(7), 8, 8, ["k"], encode.Options(max_error=50.0, normals="gradient"))
+    d = tilebytes.decode_tiles(tiles, ["k"], sections=["header", "u", "indices", "normals"])
+    return d.select("k", (F.size("indices") / 3).cast("long").alias("triangles"), F.size("u").cast("long").alias("vertices"), F.round("header.min_height", 1).alias("lo"), F.round("header.max_height", 1).alias("hi"), F.length("normals").alias("normal_bytes"))
+
+
 _SQL_BOUNDS = "b AS (SELECT vec_id, (vec_id%20)*180/128.0-180 AS west, (vec_id//20)*180/128.0-90 AS south, (vec_id%20+1)*180/128.0-180 AS east, (vec_id//20+1)*180/128.0-90 AS north FROM embeddings)"
 
 

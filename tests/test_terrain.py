@@ -181,3 +181,18 @@ def test_mercator_sample_uses_all_tiles(spark, tmp_path):
     got = {r.k: r.h for r in queries.mercator_sample(spark, str(tmp_path)).collect()}
     want = {k: _height_at(pixels, *_pixel_position(k * 2654435761 % 3600001 / 10000 - 180, k * 40503 % 1700001 / 10000 - 85)) for k in range(1, 151)}
     assert sum(map(math.isnan, want.values())) > 0 and got == pytest.approx(want, abs=2e-3, nan_ok=True)
+
+
+def test_rasters_become_tiles(spark, tmp_path):
+    """Tile bytes from pixels equal those from grids and halos sampled by brute force."""
+    pixels = _written_tiles(spark, tmp_path, [v for v in range(600) if v != 45])
+    spark.createDataFrame([(k,) for k in range(3)], "n_nationkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    boxes, options = queries._boxes(spark, str(tmp_path)), encode.Options(max_error=50.0, normals="gradient")
+    rows = []
+    for r in boxes.collect():
+        at = lambda n, b: [_height_at(pixels, *_pixel_position(b.west + i * 0.25, b.north - j * 0.25)) for j in range(-n, 9 + n) for i in range(-n, 9 + n)]
+        rows.append((r.k, tuple(r.bounds), at(0, r.bounds), at(1, r.bounds)))
+    grids = spark.createDataFrame(rows, "k long, bounds struct<west:double,south:double,east:double,north:double>, heights array<double>, halo array<double>")
+    table = {r.k: tilebytes.decode_tile(r.content) for r in encode.encode_rasters(boxes, queries._pixels(spark, str(tmp_path)), F.lit(7), 8, 8, ["k"], options).collect()}
+    want = {r.k: tilebytes.decode_tile(r.content) for r in encode.encode_terrain(grids, 8, ["k"], options).collect()}
+    assert {k: (d["u"], d["v"], d["height"], d["indices"], d["normals"]) for k, d in table.items()} == {k: (d["u"], d["v"], d["height"], d["indices"], d["normals"]) for k, d in want.items()} and len(want) == 3
