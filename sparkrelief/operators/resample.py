@@ -80,3 +80,29 @@ def padded(tiles: DataFrame, size: int) -> DataFrame:
     body = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(last)), row))
     below = F.concat(F.coalesce(F.slice(F.col("_s"), 1, size), F.slice(own, last * size + 1, size)), F.array(F.coalesce(F.get(F.col("_se"), F.lit(0)), F.get(F.col("_s"), F.lit(last)), F.get(F.col("_e"), F.lit(last * size)), F.get(own, F.lit(size * size - 1)))))
     return out.withColumn("heights", F.concat(body, below)).drop("_e", "_s", "_se")
+
+
+def halo(tiles: DataFrame, size: int, buffer: int) -> DataFrame:
+    """tiles(x, y, heights of size²) with ``halo``: (size + 1 + 2 buffer)² posts from the eight neighbours, y growing to the south.
+
+    Where the diagonal neighbour is missing, the nearest post of the one to the north or south counts, then of the
+    one to the west or east, then of the tile itself.
+    """
+    if not 0 <= buffer < size:
+        raise ValueError("the halo ends inside the next tile")
+    step = lambda name: F.explode(F.array(*map(F.lit, (-1, 0, 1)))).alias(name)
+    sent = tiles.select("x", "y", "heights", step("dx")).select("*", step("dy"))
+    near = sent.groupBy((F.col("x") - F.col("dx")).alias("x"), (F.col("y") - F.col("dy")).alias("y")).agg(F.collect_list(F.struct(((F.col("dy") + 1) * 3 + F.col("dx") + 1).alias("o"), F.col("heights").alias("h"))).alias("n"))
+    nine = lambda n: F.transform(F.sequence(F.lit(0), F.lit(8)), lambda o: F.get(F.filter(n, lambda e: e.o == o), F.lit(0)).h)
+
+    def post(t, x, y):
+        last = size - 1
+        side = lambda v: -1 if v < 0 else 1 if v >= size else 0
+        inside = lambda v: max(0, min(v, last))
+        dx, dy = side(x), side(y)
+        at = lambda ex, ey: F.get(F.get(t, F.lit((ey + 1) * 3 + ex + 1)), F.lit((y - ey * size if ey == dy else inside(y)) * size + (x - ex * size if ex == dx else inside(x))))
+        return F.coalesce(*[at(*e) for e in dict.fromkeys(((dx, dy), (0, dy), (dx, 0), (0, 0)))])
+
+    span = range(-buffer, size + 1 + buffer)
+    made = F.transform(F.array(nine(F.col("n"))), lambda t: F.array(*[post(t, x, y) for y in span for x in span]))
+    return tiles.join(near, ["x", "y"]).withColumn("halo", F.get(made, F.lit(0))).drop("n")

@@ -339,6 +339,22 @@ def gradient_normals(spark, sf_dir):
     return _padded(spark, sf_dir).select("vec_id", n.alias("n")).select("vec_id", *[(F.round(f"n.{c}", 6) + F.lit(0.0)).alias(f"n{c}") for c in "xyz"])
 
 
+@_query(f"""WITH {_SQL_PIXELS}, t AS (SELECT vec_id, x, y, x*180/128.0-180 AS west, (127-y)*180/128.0-90 AS south, 180/128.0 AS deg FROM (SELECT vec_id, vec_id%20 AS x, vec_id//20 AS y FROM embeddings)),
+p AS (SELECT t.*, CAST(gy*9+gx AS INT) AS post, gx, gy, x*8+gx AS qx, y*8+gy AS qy FROM t, range(9) r(gx), range(9) s(gy)),
+c AS (SELECT p.*, least(qx,xh) AS mx, greatest(qx-1,xl) AS wx, least(qx+1,xh) AS ex, least(qy,yh) AS my, greatest(qy-1,yl) AS ny, least(qy+1,yh) AS sy FROM p, lim),
+d AS (SELECT vec_id, post, radians(west+gx/8.0*deg) AS lam, radians(south+(1-gy/8.0)*deg) AS phi, (e.h-w.h)/2/(deg/8*radians({geo.WGS84_A})*cos(radians(south+deg/2))) AS dx, (n.h-s.h)/2/(deg/8*radians({geo.WGS84_A})) AS dy
+ FROM c JOIN px e ON e.px=ex AND e.py=my JOIN px w ON w.px=wx AND w.py=my JOIN px n ON n.px=mx AND n.py=ny JOIN px s ON s.px=mx AND s.py=sy),
+v AS (SELECT vec_id, post, dx*sin(lam)+dy*sin(phi)*cos(lam)+cos(phi)*cos(lam) AS x, -dx*cos(lam)+dy*sin(phi)*sin(lam)+cos(phi)*sin(lam) AS y, -dy*cos(phi)+sin(phi) AS z FROM d)
+SELECT vec_id, post, round(x/l,6)+0 AS nx, round(y/l,6)+0 AS ny, round(z/l,6)+0 AS nz FROM (SELECT *, sqrt(x*x+y*y+z*z) AS l FROM v)""")
+def gradient_normals_halo(spark, sf_dir):
+    """A normal for each of the 81 posts of a tile, from a halo of the neighbours; rows of tiles go to the south here, so the bounds count from the north."""
+    b = geo.geodetic_bounds(F.col("x").cast("long"), (127 - F.col("y")).cast("long"), F.lit(7))
+    t = resample.halo(_tiles(spark, sf_dir), 8, 1).select("vec_id", "halo", b.alias("bounds"))
+    post = lambda s: lambda i: normals.gradient_normal((i % 9) / 8, 1 - F.floor(i / 9) / 8, s.b, s.h, 8, 1)
+    n = geo.let(F.struct(F.col("bounds").alias("b"), F.col("halo").alias("h")), lambda s: F.transform(F.sequence(F.lit(0), F.lit(80)), post(s)))
+    return t.select("vec_id", F.posexplode(n).alias("post", "n")).select("vec_id", "post", *[(F.round(f"n.{c}", 6) + F.lit(0.0)).alias(f"n{c}") for c in "xyz"])
+
+
 @_query("""WITH v AS (SELECT vec_id, i AS vid, CAST(i%8 AS DOUBLE) AS px, CAST(i//8 AS DOUBLE) AS py, CAST(embedding[i+1] AS DOUBLE) AS pz FROM embeddings, range(64) r(i)),
 t AS (SELECT s, gx, gy FROM range(7) p(gx), range(7) q(gy), range(2) k(s)),
 f AS (SELECT CASE WHEN s=0 THEN gy*8+gx ELSE gy*8+gx+1 END AS a, CASE WHEN s=0 THEN gy*8+gx+1 ELSE gy*8+gx+9 END AS b, gy*8+gx+8 AS c FROM t),

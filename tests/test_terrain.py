@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkrelief import queries
 from sparkrelief.functions import codec, geo
-from sparkrelief.operators import avail, rtin
+from sparkrelief.operators import avail, resample, rtin
 from sparkrelief.plans import encode
 from sparkrelief.sources import files, png, tilebytes
 from sparkrelief.streaming import arrivals
@@ -196,3 +196,17 @@ def test_rasters_become_tiles(spark, tmp_path):
     table = {r.k: tilebytes.decode_tile(r.content) for r in encode.encode_rasters(boxes, queries._pixels(spark, str(tmp_path)), F.lit(7), 8, 8, ["k"], options).collect()}
     want = {r.k: tilebytes.decode_tile(r.content) for r in encode.encode_terrain(grids, 8, ["k"], options).collect()}
     assert {k: (d["u"], d["v"], d["height"], d["indices"], d["normals"]) for k, d in table.items()} == {k: (d["u"], d["v"], d["height"], d["indices"], d["normals"]) for k, d in want.items()} and len(want) == 3
+
+
+@pytest.mark.parametrize("buffer", [1, 2])
+def test_halo_of_neighbours(spark, buffer):
+    """Halos of 3 by 3 tiles of 4 posts with a corner tile missing; whole neighbours give the posts of the raster."""
+    tiles = {(x, y): [float((y * 4 + j) * 100 + x * 4 + i) for j in range(4) for i in range(4)] for x in range(3) for y in range(3) if (x, y) != (2, 2)}
+    frame = spark.createDataFrame([(x, y, h) for (x, y), h in tiles.items()], "x int, y int, heights array<double>")
+    got = {(r.x, r.y): r.halo for r in resample.halo(frame, 4, buffer).collect()}
+    span, clamp = range(-buffer, 5 + buffer), lambda v: max(0, min(v, 11))
+    raster = lambda x, y: [clamp(y * 4 + j) * 100.0 + clamp(x * 4 + i) for j in span for i in span]
+    assert got.keys() == tiles.keys() and got[0, 0] == raster(0, 0) and got[0, 1] == raster(0, 1)
+    # without the diagonal neighbour, the last column of the one to the south counts
+    want = {(i, j): 100.0 * (4 + j) + 4 + i for i in span for j in span} | {(i, j): 100.0 * (4 + j) + 7 for i in span for j in span if i > 3 and j > 3}
+    assert got[1, 1] == [want[i, j] for j in span for i in span]
