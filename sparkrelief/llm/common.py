@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,9 +30,11 @@ def partitions(spark: SparkSession, least: int = 8) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a local one only where that is unset and all runs on one machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="llm-stage-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -65,6 +68,16 @@ def giving_back(run):
     return wrapped
 
 
+def slices(batches, column: str = "text", most: int = 1 << 22):
+    """The batches in slices whose texts have about ``most`` bytes, or one row; a slice copies nothing."""
+    for batch in batches:
+        sizes = pc.binary_length(batch[column]).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = np.cumsum(sizes) // most
+        cut = np.flatnonzero(np.diff(part, prepend=-1))
+        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(sizes)], strict=False):
+            yield batch.slice(a, b - a)
+
+
 def is_held_out(doc_id: str = "doc_id"):
     """Column: crc32 of the id's decimal text mod 4 is 2; false for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == HELD_OUT_REMAINDER, F.lit(False))
@@ -82,18 +95,6 @@ def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * _M3 + b)
 
 
-def gram_hashes(data: np.ndarray, most: int) -> dict[int, np.ndarray]:
-    """Hashes of all substrings of 1, 2, 4, ... ``most`` bytes; entry n has one hash for each start."""
-    with np.errstate(over="ignore"):
-        h = (data.astype(U) + U(1)) * _M1
-        out, n = {1: h}, 1
-        while n < most:
-            h = pair(h[:-n], h[n:]) if len(h) > n else h[:0]
-            n *= 2
-            out[n] = h
-    return out
-
-
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -101,7 +102,7 @@ _LOWER[65:91] += 32
 _POWERS = np.ones(1, U), np.ones(1, U)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base mod 2**64, and of its inverse."""
     global _POWERS
     if len(_POWERS[0]) < n:
@@ -125,7 +126,7 @@ def word_hashes(data: bytes, blanks: np.ndarray = _SPACE) -> np.ndarray:
     if not len(first):
         return np.empty(0, U)
     with np.errstate(over="ignore"):
-        up, down = _powers(len(b) + 1)
+        up, down = powers(len(b) + 1)
         total = np.zeros(len(b) + 1, U)
         np.cumsum(mix((b.astype(U) + U(1)) * _M1) * up[: len(b)], out=total[1:])
         return mix((total[end] - total[first]) * down[first] + (end - first).astype(U) * _M3)
