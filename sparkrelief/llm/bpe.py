@@ -9,26 +9,33 @@ gives; only words that fail the check are merged exactly.
 
 Words come from the tokenizer's own rules. A plain path covers texts of common
 Latin characters; any other text is split by the library's normaliser and
-pre-tokeniser, so no rule is approximated.
+pre-tokeniser, so no rule is approximated. Words that need exact
+merging are merged side by side in one matrix: each round merges the best pair
+of every row.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
 import re
+import struct
 import unicodedata
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import read
+from .common import giving_back, read, slices
 
-#: Words remembered by a worker; beyond it the memory is emptied.
-MAX_CACHE = 300_000
+#: Words, and letters of them, that a worker remembers, and as many from before them; beyond it the older ones are forgotten.
+MAX_CACHE, MAX_LETTERS = 200_000, 4_000_000
 END = "</w>"
+#: Words of up to so many letters are merged side by side, by classes of length; so many at once.
+WIDTHS = (4, 8, 12, 16, 24, 32, 48)
+SIDE_BY_SIDE = 16_384
 #: Longer words are merged with a heap.
 LONG_WORD = 256
 #: The rank of a pair that never merges.
@@ -49,6 +56,11 @@ def _byte_letters() -> list[str]:
     return out
 
 
+def as_bytes(ids) -> bytes:
+    """Ids as 32-bit little-endian numbers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordBPE:
     """Encoder and decoder for a tokenizer file with word ends (``</w>``), lower case and byte-level letters."""
 
@@ -77,12 +89,100 @@ class WordBPE:
             if kind in kinds:
                 kinds[kind] += re.escape(c)
         self.plain = re.compile(f"[{_PLAIN}]*")
-        self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{kinds['L']}]+|[{kinds['N']}]|[^{kinds[' ']}{kinds['L']}{kinds['N']}]+")
+        self.words = re.compile(f"[{kinds['L']}]+|'s|'t|'re|'ve|'m|'ll|'d|[{kinds['N']}]|[^{kinds[' ']}{kinds['L']}{kinds['N']}]+")
         self.known: dict[int, bool] = {}  # pairs of tokens, as one integer: compatible?
         self.stable = np.full(max(self.names) + 1, -1, np.int8)
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.memory = Memory()
         self.speculated = self.merged = 0
+        keys = np.array(sorted(self.ranks), np.int64)
+        self.pairs, self.order = self._hashed(keys, np.array([self.ranks[k] >> 16 for k in keys.tolist()], np.int64))
+        self.made = np.zeros(max((r >> 16 for r in self.ranks.values()), default=0) + 1, np.int32)
+        for r in self.ranks.values():
+            self.made[r >> 16] = r & 0xFFFF
+        self.inner, self.last = (np.array([self.vocab.get(chr(c) + end, -1) for c in range(max(map(ord, self.letters)) + 1)], np.int32) for end in ("", END))
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 18)).astype(np.int64)
+
+    def _hashed(self, keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """An open table of keys and values; a key lies in its slot or soon after it."""
+        table, out = np.full((1 << 18) + len(keys), -1, np.int64), np.full((1 << 18) + len(keys), NEVER, np.int64)
+        slot, todo = self._slot(keys), np.arange(len(keys))
+        while len(todo):
+            free = todo[table[slot[todo]] < 0]
+            _, first = np.unique(slot[free], return_index=True)
+            free = free[first]
+            table[slot[free]], out[slot[free]] = keys[free], values[free]
+            todo = todo[table[slot[todo]] != keys[todo]]
+            slot[todo] += 1
+        return table, out
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair of tokens, ``NEVER`` if it doesn't merge; negative tokens never do."""
+        keys = (a.astype(np.int64) << 16) | b
+        slot = self._slot(keys)
+        out = np.full(len(keys), NEVER, np.int64)
+        todo = np.flatnonzero((a >= 0) & (b >= 0))
+        while len(todo):
+            there = self.pairs[slot[todo]]
+            hit = there == keys[todo]
+            out[todo[hit]] = self.order[slot[todo[hit]]]
+            todo = todo[~hit & (there >= 0)]
+            slot[todo] += 1
+        return out
+
+    def merge_all(self, words: list[str]) -> list[bytes]:
+        """Each word by exact merging, words of like length side by side; ids as 32-bit little-endian numbers."""
+        out: list = [None] * len(words)
+        spelled = [w if w.isascii() and w[0] != "\0" else self.spelled(w) for w in words]
+        sizes = np.array([len(s) for s in spelled], np.int64)
+        low = 0
+        for width in WIDTHS:
+            mine = np.flatnonzero((sizes > low) & (sizes <= width))
+            low = width
+            for k in range(0, len(mine), SIDE_BY_SIDE):
+                some = mine[k : k + SIDE_BY_SIDE]
+                self._side_by_side([spelled[i] for i in some.tolist()], sizes[some], width, some, out)
+        return [as_bytes(self.merge(self.symbols(w))) if x is None else x for w, x in zip(words, out, strict=True)]
+
+    def _side_by_side(self, spelled: list[str], sizes: np.ndarray, width: int, place: np.ndarray, out: list) -> None:
+        """Puts the tokens of words of at most ``width`` letters into ``out``; leaves words with an unknown letter."""
+        n, columns = len(spelled), np.arange(width)
+        codes = np.frombuffer("".join(spelled).encode("utf-32-le"), "<u4")
+        ids = np.full((n, width + 1), -1, np.int32)
+        inside = columns < sizes[:, None]
+        # a letter beyond the alphabet is as unknown as one that the vocabulary lacks
+        ids[:, :width][inside] = np.where(codes < len(self.inner), self.inner[np.minimum(codes, len(self.inner) - 1)], -1)
+        ends = codes[np.cumsum(sizes) - 1]
+        ids[np.arange(n), sizes - 1] = np.where(ends < len(self.last), self.last[np.minimum(ends, len(self.last) - 1)], -1)
+        good = ((ids[:, :width] >= 0) == inside).all(1)
+        ids, place, sizes = ids[good], place[good], sizes[good].copy()
+        best = self.rank(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(ids), width)
+        while len(ids):
+            at = best.argmin(1)
+            row = np.arange(len(ids))
+            rank = best[row, at]
+            done = rank == NEVER
+            if done.any():
+                whole, each = ids[done].astype("<i4").tobytes(), 4 * (width + 1)
+                for p, k, m in zip(place[done].tolist(), range(0, len(whole), each), sizes[done].tolist(), strict=True):
+                    out[p] = whole[k : k + 4 * m]
+                left = ~done
+                ids, best, place, sizes, at, rank = ids[left], best[left], place[left], sizes[left], at[left], rank[left]
+                row = row[: len(ids)]
+                if not len(ids):
+                    break
+            token = self.made[rank]
+            after = columns + (columns > at[:, None])
+            # all that stands right of the merged pair moves one place to the left
+            ids[:, :width] = np.take_along_axis(ids, after, 1)
+            ids[row, at] = token
+            best = np.take_along_axis(np.concatenate((best, np.full((len(best), 1), NEVER)), 1), after, 1)
+            best[row, at] = self.rank(token, ids[row, at + 1])
+            some = np.flatnonzero(at)
+            best[some, at[some] - 1] = self.rank(ids[some, at[some] - 1], token[some])
+            sizes -= 1
 
     def pretokens(self, text: str) -> list[str]:
         """The words of a text without special tokens, before the byte alphabet on the plain path, marked by a leading NUL after it."""
@@ -173,32 +273,34 @@ class WordBPE:
             i = j
         return out
 
-    def learn(self, words: list[str]) -> None:
-        """Encodes words that the cache lacks, all at once."""
+    def verified(self, words: list[str]) -> list[list[int]]:
+        """The ids of words: proposed, checked all at once, and merged exactly where the check fails."""
         made = [self.propose(w) for w in words]
-        sizes = np.array([len(m) if m else 0 for m in made])
+        sizes = np.array([len(m) if m else 0 for m in made], np.int64)
         flat = np.array([t for m in made if m for t in m], np.int64)
         owner = np.repeat(np.arange(len(made)), sizes)
         for t in np.unique(flat[self.stable[flat] < 0]):
             self.stable[t] = self.merge(self._split(int(t))) == [t]
-        bad = np.zeros(len(made), bool)
+        bad = np.array([m is None for m in made], bool)
         bad[owner[self.stable[flat] == 0]] = True
         inner = np.flatnonzero(owner[1:] == owner[:-1])
         distinct, back = np.unique((flat[inner] << 32) | flat[inner + 1], return_inverse=True)
         fits = np.empty(len(distinct), bool)
+        if len(self.known) > 4 * MAX_CACHE:
+            self.known.clear()
         for k, key in enumerate(distinct.tolist()):
             ok = self.known.get(key)
             if ok is None:
-                if len(self.known) > 4 * MAX_CACHE:
-                    self.known.clear()
                 a, b = key >> 32, key & 0xFFFFFFFF
                 ok = self.known[key] = self.merge(self._split(a) + self._split(b)) == [a, b]
             fits[k] = ok
         bad[owner[inner[~fits[back]]]] = True
-        for w, m, wrong in zip(words, made, bad.tolist(), strict=True):
-            self.cache[w] = tuple(self.merge(self.symbols(w)) if wrong or m is None else m)
+        failed = np.flatnonzero(bad).tolist()
+        for i, ids in zip(failed, self.merge_all([words[i] for i in failed]), strict=True):
+            made[i] = np.frombuffer(ids, "<i4").tolist()
         self.speculated += len(words)
-        self.merged += int(bad.sum())
+        self.merged += len(failed)
+        return made
 
     def exact(self, word: str) -> list[int]:
         """One word by exact merging alone."""
@@ -211,34 +313,41 @@ class WordBPE:
         pieces = self.split_special.split(text) if self.split_special and "<|" in text else [text]
         return [self.special[p] if k % 2 else self.pretokens(p) for k, p in enumerate(pieces) if p]
 
-    def prepare(self, texts: list[list]) -> None:
-        """Learns the new words of some split texts."""
-        if len(self.cache) > MAX_CACHE:
-            self.old, self.cache = self.cache, {}
-        new = set()
-        for parts in texts:
-            for p in parts:
-                if not isinstance(p, int):
-                    new.update(p)
-        new.difference_update(self.cache)
-        again = new.intersection(self.old) if self.old else ()
-        if again:
-            self.cache.update((w, self.old[w]) for w in again)
-            new.difference_update(again)
-        if new:
-            self.learn(list(new))
-
     def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
         split = [self.parts(t) for t in texts]
-        self.prepare(split)
-        get = self.cache.__getitem__
-        return [[i for p in parts for i in ([p] if isinstance(p, int) else [t for w in map(get, p) for t in w])] for parts in split]
+        of = self.memory.of(split, self.verified)
+        return [[i for p in parts for i in ([p] if isinstance(p, int) else [t for w in p for t in of[w]])] for parts in split]
 
     def decode(self, ids: list[int]) -> str:
         """The library's decoding without a decoder: the tokens' names with blanks between; unknown ids are skipped."""
         return " ".join([self.names[i] for i in ids if i in self.names])
 
 
+class Memory:
+    """What was made of late for words, within ``MAX_CACHE`` words and ``MAX_LETTERS`` letters, those of one lot of texts aside."""
+
+    def __init__(self):
+        self.new, self.old, self.letters = {}, {}, 0
+
+    def of(self, split: list[list], make) -> dict:
+        """A dictionary with all words of some split texts; ``make`` gives what is to be held for a list of words."""
+        if len(self.new) > MAX_CACHE or self.letters > MAX_LETTERS:
+            self.new, self.old, self.letters = {}, self.new, 0
+        wanted: set[str] = set()
+        for parts in split:
+            for p in parts:
+                if not isinstance(p, int):
+                    wanted.update(p)
+        wanted.difference_update(self.new)
+        again = wanted.intersection(self.old)
+        self.new.update((w, self.old[w]) for w in again)
+        wanted.difference_update(again)
+        words = list(wanted)
+        self.new.update(zip(words, make(words), strict=True))
+        self.letters += sum(map(len, words)) + sum(map(len, again))
+        return self.new
+
+
 _LOADED: dict[str, WordBPE] = {}
 
 
@@ -246,6 +355,9 @@ def loaded(path: str) -> WordBPE:
     """The tokenizer of a file, made once in each worker."""
     if path not in _LOADED:
         _LOADED[path] = WordBPE(path)
+        # the tables stay, and what is made later has no cycles
+        gc.freeze()
+        gc.set_threshold(100_000, 50, 100)
     return _LOADED[path]
 
 
@@ -255,18 +367,6 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def groups_of(texts: list, most: int = 2_000_000):
-    """(start, end) of runs of texts of about so many characters, to bound what is held at once."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= most:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row's whole ``text``.
 
@@ -278,36 +378,19 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
         bpe = loaded(path or default_path())
         digits: dict[int, bytes] = {i: b"%d" % i for i in bpe.names}
         names = {i: n.encode() for i, n in bpe.names.items()}
-        shown: dict[str, tuple[int, bytes, bytes]] = {}
-        for batch in batches:
-            ids, texts = batch["doc_id"], batch["text"].to_pylist()
+        shown = lambda t: (len(t), b" ".join([digits[i] for i in t]), b" ".join([names[i] for i in t]))
+        memory = Memory()
+        for batch in slices(batches):
             out: list[tuple[int, str, str]] = []
-            for a, b in groups_of(texts):
-                split = [bpe.parts(t) for t in texts[a:b]]
-                bpe.prepare(split)
-                if len(shown) > MAX_CACHE:
-                    shown.clear()
-                for parts in split:
-                    n, of_ids, of_names = 0, [], []
-                    for p in parts:
-                        if isinstance(p, int):
-                            n += 1
-                            of_ids.append(digits[p])
-                            of_names.append(names[p])
-                            continue
-                        for w in p:
-                            s = shown.get(w)
-                            if s is None:
-                                t = bpe.cache[w]
-                                s = shown[w] = (len(t), b" ".join([digits[i] for i in t]), b" ".join([names[i] for i in t]))
-                            if s[0]:
-                                n += s[0]
-                                of_ids.append(s[1])
-                                of_names.append(s[2])
-                    out.append((n, hashlib.sha256(b" ".join(of_ids)).hexdigest(), hashlib.sha256(b" ".join(of_names)).hexdigest()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            split = [bpe.parts(t) for t in batch["text"].to_pylist()]
+            of = memory.of(split, lambda words: map(shown, bpe.verified(words)))
+            for parts in split:
+                found = [s for p in parts for s in ([shown([p])] if isinstance(p, int) else map(of.__getitem__, p)) if s[0]]
+                out.append((sum([s[0] for s in found]), hashlib.sha256(b" ".join([s[1] for s in found])).hexdigest(), hashlib.sha256(b" ".join([s[2] for s in found])).hexdigest()))
+            del split
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select("doc_id", "text").mapInArrow(giving_back(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op4_bpe(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,6 @@ Ranks within each length, counted in parallel, then give every piece its place.
 from __future__ import annotations
 
 import bisect
-import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -26,17 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import default_path, groups_of, loaded
-from .common import giving_back, partitions, read, staged
+from .bpe import Memory, as_bytes, default_path, loaded
+from .common import giving_back, partitions, read, slices, staged
 
 CAPACITY = 4096
-#: Words remembered by a worker, twice over.
-MAX_CACHE = 700_000
 SEPARATOR = 1
 #: Longer pieces are large; the others fill gaps.
 LARGE = CAPACITY // 8
 #: Groups of equal cardinality of the large lengths.
 GROUPS = 48
+#: Bits of a rank within its length.
+_RANK_BITS = 48
 
 
 def _configuration(sizes: list[int], left: list[int], capacity: int) -> list[int]:
@@ -158,35 +157,19 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
 
     def run(batches):
         bpe = loaded(path or default_path())
-        packed: dict[str, bytes] = {}  # the words of late, and those before them
-        old: dict[str, bytes] = {}
-        end = SEPARATOR.to_bytes(4, "little")
-        for batch in batches:
-            ids, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
-            for a, b in groups_of(texts):
-                split = [bpe.parts(t) for t in texts[a:b]]
-                if len(packed) > MAX_CACHE:
-                    old, packed = packed, {}
-                out: list[tuple] = []
-                for d, parts in zip(ids[a:b], split, strict=True):
-                    data = []
-                    for p in parts:
-                        if isinstance(p, int):
-                            data.append(p.to_bytes(4, "little"))
-                            continue
-                        try:
-                            data.extend([packed[w] for w in p])
-                        except KeyError:
-                            for w in p:
-                                if w not in packed:
-                                    packed[w] = old.get(w) or struct.pack(f"<{len(x := bpe.exact(w))}I", *x)
-                            data.extend([packed[w] for w in p])
-                    whole = b"".join(data) + end
-                    for k in range(0, len(whole), 4 * capacity):
-                        x = whole[k : k + 4 * capacity]
-                        out.append((d, k // (4 * capacity), k // 4, len(x) // 4, zlib.crc32(x)))
-                cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        memory, end = Memory(), as_bytes([SEPARATOR])
+        for batch in slices(batches):
+            split = [bpe.parts(t) for t in batch["text"].to_pylist()]
+            of = memory.of(split, bpe.merge_all)
+            out: list[tuple] = []
+            for d, parts in zip(batch["doc_id"].to_pylist(), split, strict=True):
+                whole = b"".join([as_bytes([p]) if isinstance(p, int) else b"".join([of[w] for w in p]) for p in parts]) + end
+                for k in range(0, len(whole), 4 * capacity):
+                    x = whole[k : k + 4 * capacity]
+                    out.append((d, k // (4 * capacity), k // 4, len(x) // 4, zlib.crc32(x)))
+            del split
+            cols = list(zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select("doc_id", "text").mapInArrow(giving_back(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
@@ -205,18 +188,23 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
     tally = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r["length"]: r["n"] for r in tally.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     rows = places(plan(histogram, capacity, large=max(1, capacity // 8)))
-    steps = spark.createDataFrame(pa.Table.from_pylist([dict(zip(("length", "_r0", "_r1", "_base", "_each", "_offset"), r, strict=True)) for r in rows], schema=pa.schema([(c, pa.int64()) for c in ("length", "_r0", "_r1", "_base", "_each", "_offset")])))
+    # sorted by length and first rank, and the ranks of a length have no gap, so the last row not above a piece is its own
+    steps = np.array(sorted(rows), np.int64).reshape(-1, 6)
+    held = spark.sparkContext.broadcast(((steps[:, 0] << _RANK_BITS) | steps[:, 1], steps))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = tally.select("length", "_salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = salted.withColumn("_k", F.row_number().over(inside)).join(starts, ["length", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_k") - 1).alias("p")
-    found = ranked.join(F.broadcast(steps.alias("s")), (F.col("p.length") == F.col("s.length")) & (F.col("_rank") >= F.col("_r0")) & (F.col("_rank") < F.col("_r1")))
-    nth = F.col("_rank") - F.col("_r0")
-    return found.select(
-        "p.doc_id", "p.piece", "p.start", "p.length", "p.ids_crc32",
-        (F.col("_base") + F.floor(nth / F.col("_each"))).cast("long").alias("sequence_id"),
-        (F.col("_offset") + (nth % F.col("_each")) * F.col("p.length")).cast("long").alias("offset"),
-    )
+    ranked = salted.withColumn("_k", F.row_number().over(inside)).join(starts, ["length", "_salt"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_before") + F.col("_k") - 1).cast("long").alias("rank"))
+
+    def placed(batches):
+        keys, plan_rows = held.value
+        for batch in batches:
+            length, rank = batch["length"].to_numpy(), batch["rank"].to_numpy()
+            step = plan_rows[np.searchsorted(keys, (length << _RANK_BITS) | rank, side="right") - 1]
+            nth, each = rank - step[:, 1], step[:, 4]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(step[:, 3] + nth // each), pa.array(step[:, 5] + nth % each * length)], [*batch.schema.names[:5], "sequence_id", "offset"])
+
+    return ranked.mapInArrow(placed, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op10_packing(spark, sf_dir: str) -> DataFrame:
