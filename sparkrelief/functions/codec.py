@@ -52,9 +52,12 @@ def decode_mapbox(p: Column) -> Column:
 
 
 def encode_gsi(e: Column) -> Column:
-    """Hundredths of a metre modulo 2**24; NaN has a value of its own."""
-    v = F.round(e.cast("float").cast("double") * 100)
-    return F.when(F.isnan(e), rgb(F.lit(128), F.lit(0), F.lit(0))).otherwise(_bytes(F.pmod(F.when(F.isnan(v), 0.0).otherwise(v).cast("long"), F.lit(1 << 24))))
+    """Hundredths of a metre modulo 2**24; NaN has a value of its own. Beyond 64 bits they stop at the largest and smallest number, also for infinity."""
+    v = e.cast("float").cast("double") * 100
+    top = F.lit(float(1 << 63))
+    near = F.round(F.when(F.isnan(v) | (F.abs(v) >= top), 0.0).otherwise(v)).cast("long")
+    whole = F.when(v >= top, F.lit((1 << 63) - 1)).when(v <= -top, F.lit(-(1 << 63))).otherwise(near)
+    return F.when(F.isnan(e), rgb(F.lit(128), F.lit(0), F.lit(0))).otherwise(_bytes(F.pmod(whole, F.lit(1 << 24))))
 
 
 def decode_gsi(p: Column) -> Column:
@@ -88,6 +91,34 @@ def decode_heights(name: Column, pixels: Column) -> Column:
     return F.transform(pixels, lambda p: decode_height(name, p))
 
 
+def pack_rgb(pixels: Column) -> Column:
+    """An array of pixels as bytes, three each."""
+    return F.unhex(F.array_join(F.transform(pixels, lambda p: F.concat(*[F.lpad(F.hex(p[c]), 2, "0") for c in "rgb"])), ""))
+
+
+def packed_pixel(content: Column, i: Column) -> Column:
+    """The pixel number ``i`` of packed bytes."""
+    byte = lambda k: F.conv(F.hex(F.substr(content, (i * 3 + k + 1).cast("int"), F.lit(1))), 16, 10)
+    return rgb(byte(0), byte(1), byte(2))
+
+
+def checked_rgb(content: Column, width: Column, height: Column) -> Column:
+    """Packed bytes; an error if they are not three for each pixel."""
+    fits = F.octet_length(content) == width * height * 3
+    return F.when(fits, content).otherwise(F.raise_error(F.concat(F.lit("rgb length mismatch: expected "), (width * height * 3).cast("string"), F.lit(", got "), F.octet_length(content).cast("string"))).cast("binary"))
+
+
+def height_at(name: Column, content: Column, width: Column, x: Column, y: Column) -> Column:
+    """The height at one pixel of packed bytes; the others are not decoded."""
+    return decode_height(name, packed_pixel(content, y * width + x))
+
+
+def unpack_rgb(content: Column) -> Column:
+    """Packed bytes as an array of pixels."""
+    n = F.floor(F.octet_length(content) / 3).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: packed_pixel(content, i))).otherwise(F.array().cast("array<struct<r:int,g:int,b:int>>"))
+
+
 def container_name(name: Column) -> Column:
     """png, webp or avif from a name or media type, in any case; an unknown one raises an error."""
     low = F.regexp_replace(F.lower(name), "^image/", "")
@@ -150,6 +181,14 @@ def oct_encode(n: Column) -> Column:
     return F.struct(byte(F.when(z < 0, fx).otherwise(px)).alias("a"), byte(F.when(z < 0, fy).otherwise(py)).alias("b"))
 
 
+def oct_pairs(content: Column) -> Column:
+    """Bytes of normals as an array of structs a, b; an odd last byte is ignored."""
+    n = F.floor(F.octet_length(content) / 2).cast("int")
+    byte = lambda i: F.conv(F.hex(F.substr(content, i + 1, F.lit(1))), 16, 10).cast("int")
+    pair = lambda i: F.struct(byte(i * 2).alias("a"), byte(i * 2 + 1).alias("b"))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), pair)).otherwise(F.array().cast("array<struct<a:int,b:int>>"))
+
+
 def oct_decode(o: Column) -> Column:
     """The unit vector of two bytes; (0, 0, 1) if it has no length."""
     x, y = (o[c].cast("double") / 255 * 2 - 1 for c in "ab")

@@ -41,15 +41,15 @@ def geodetic_to_ecef(lon: Column, lat: Column, h: Column) -> Column:
 
 
 def ecef_to_geodetic(p: Column) -> Column:
-    """Struct lon, lat, h; five fixed-point steps, as one fold over a struct so that no expression is copied."""
+    """Struct lon, lat, h; five fixed-point steps, as one fold over a struct so that no expression is copied. Poles are at 90 degrees; the centre gives NaN or no height."""
     return let(p, _to_geodetic)
 
 
 def _to_geodetic(p: Column) -> Column:
     flat = F.sqrt(p.x * p.x + p.y * p.y)
     radius = lambda phi: WGS84_A / F.sqrt(1 - WGS84_E2 * F.sin(phi) * F.sin(phi))
-    phi = F.aggregate(F.sequence(F.lit(1), F.lit(5)), F.atan(p.z / flat), lambda f, _: F.atan2(p.z + WGS84_E2 * radius(f) * F.sin(f), flat))
-    done = F.transform(F.array(phi), lambda f: F.struct(rad_to_deg(F.atan2(p.y, p.x)).alias("lon"), rad_to_deg(f).alias("lat"), F.when(F.abs(F.cos(f)) > 1e-10, flat / F.cos(f) - radius(f)).otherwise(F.abs(p.z) - WGS84_B).alias("h")))
+    phi = F.aggregate(F.sequence(F.lit(1), F.lit(5)), F.atan2(p.z, flat), lambda f, _: F.atan2(p.z + WGS84_E2 * radius(f) * F.sin(f), flat))
+    done = F.transform(F.array(phi), lambda f: F.struct(rad_to_deg(F.atan2(p.y, p.x)).alias("lon"), rad_to_deg(f).alias("lat"), F.when(F.abs(F.cos(f)) > 1e-10, flat / F.cos(f) - radius(f)).otherwise(F.abs(p.z) / F.abs(F.sin(f)) - radius(f) * (1 - WGS84_E2)).alias("h")))
     return F.get(done, F.lit(0))
 
 

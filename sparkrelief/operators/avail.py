@@ -56,6 +56,11 @@ def collapsed_mask(values: Column) -> Column:
     return F.struct(F.when(short | flat, "uniform").otherwise("grid").alias("kind"), F.when(short, 0).when(flat, F.array_min(some)).alias("uniform"), F.when(~short & ~flat, some).alias("grid"))
 
 
+def collapsed(least: Column, most: Column) -> Column:
+    """Struct kind, uniform of a mask of which only the least and the most value are known, as aggregates give them."""
+    return F.struct(F.when(least == most, "uniform").otherwise("grid").alias("kind"), F.when(least == most, least).alias("uniform"))
+
+
 def manifest(available_levels: Column, minzoom: Column, maxzoom: Column, bounds: Column, extensions: Column, metadata_availability: Column | None = None, attribution: Column | None = None, scheme: str = "tms", terrain: str = "mesh") -> Column:
     """The manifest as JSON text; what is null or empty is left out."""
     d = MANIFEST_DEFAULTS

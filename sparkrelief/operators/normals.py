@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geo
+from ..sources.tilebytes import lists
+from . import kernels
 
 
 def face_normals(vertex: DataFrame, triangle: DataFrame, keys: list[str]) -> DataFrame:
@@ -49,6 +54,7 @@ def _height(halo: Column, side: int, x: Column, y: Column) -> Column:
 def gradient_normal(u: Column, v: Column, b: Column, halo: Column, cells: int, buffer: int) -> Column:
     """Unit normal of a vertex from the slopes of a grid with ``buffer`` more posts on each side."""
     side = cells + 1 + 2 * buffer
+    halo = F.when(F.size(halo) == side * side, halo).otherwise(F.raise_error(F.lit(f"a halo needs {side * side} heights")))
     per_lat = geo.deg_to_rad(F.lit(geo.WGS84_A))
     per_lon = per_lat * F.cos(geo.deg_to_rad(geo.centre(b).lat))
     fx, fy = buffer + u * cells, buffer + (1 - v) * cells
@@ -62,3 +68,20 @@ def gradient_normal(u: Column, v: Column, b: Column, halo: Column, cells: int, b
         return geo.normalised(geo.xyz(e, n, -p.dy * F.cos(p.phi) + F.sin(p.phi)))
 
     return geo.let(F.struct(dx.alias("dx"), dy.alias("dy"), lam.alias("lam"), phi.alias("phi")), turned)
+
+
+def grid_normals(tiles: DataFrame, keys: list[str], cells: int, buffer: int) -> DataFrame:
+    """keys and ``normals``, a unit vector for each grid post, from ``bounds`` and ``halo``; in Arrow batches, for grids of any size."""
+    side, vector = cells + 1, T.StructType([T.StructField(c, T.DoubleType()) for c in "xyz"])
+
+    def run(batches):
+        u, v = np.tile(np.arange(side) / cells, side), np.repeat(1 - np.arange(side) / cells, side)
+        for batch in batches:
+            bounds = [tuple(r[c] for c in ("west", "south", "east", "north")) for r in batch["bounds"].to_pylist()]
+            made = [kernels.gradient_normals(u, v, b, h, cells, buffer) for b, h in zip(bounds, lists(batch["halo"]), strict=True)]
+            flat = np.concatenate(made) if made else np.empty((0, 3))
+            vectors = pa.StructArray.from_arrays([pa.array(flat[:, k]) for k in range(3)], ["x", "y", "z"])
+            at = pa.array(np.arange(len(made) + 1) * side * side, pa.int32())
+            yield pa.RecordBatch.from_arrays([*[batch[k] for k in keys], pa.ListArray.from_arrays(at, vectors)], [*keys, "normals"])
+
+    return tiles.select(*keys, "bounds", "halo").mapInArrow(run, T.StructType([*[tiles.schema[k] for k in keys], T.StructField("normals", T.ArrayType(vector))]))

@@ -46,7 +46,7 @@ def bounding_sphere(b: Column, lo: Column, hi: Column) -> Column:
 
 
 def occlusion_magnitude(p: Column, direction: Column) -> Column:
-    """How far along the direction a point hides behind the horizon; null if it never does."""
+    """How far along the direction a point hides behind the horizon; null if it never does, or isn't known."""
     def hidden(q):
         s, d = q.s, q.d
         cross = geo.xyz(s.y * d.z - s.z * d.y, s.z * d.x - s.x * d.z, s.x * d.y - s.y * d.x)
@@ -56,7 +56,7 @@ def occlusion_magnitude(p: Column, direction: Column) -> Column:
 
     scaled = geo.let(F.struct(geo.ellipsoid_scaled(p).alias("s"), direction.alias("d")), lambda q: F.struct(q.s.alias("s"), q.d.alias("d"), F.greatest(geo.magnitude(q.s), F.lit(1.0)).alias("m")))
     # below the surface the unit vector is taken with the clamped length
-    return geo.let(geo.let(scaled, lambda q: hidden(q.withField("l", q.m))), lambda x: F.when(x > 0, 1 / x))
+    return geo.let(geo.let(scaled, lambda q: hidden(q.withField("l", q.m))), lambda x: F.when((x > 0) & ~F.isnan(x), 1 / x))
 
 
 def horizon_point(b: Column, lo: Column, hi: Column, ecef: Column | None = None) -> Column:

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import codec, geo
+from ..operators import kernels, quantize, resample, rtin, streams
 from ..operators import normals as nrm
-from ..operators import quantize, resample, rtin, streams
-from ..sources import tilebytes
+from ..sources import png, tilebytes
 
 
 @dataclass(frozen=True)
@@ -50,7 +53,8 @@ def meshes(tiles: DataFrame, cells: int, options: Options | None = None) -> Data
 
 def with_face_normals(mesh: DataFrame, keys: list[str]) -> DataFrame:
     """``mesh`` with ``normals`` of its faces as bytes; the only stage that joins, on the tile's keys."""
-    at = F.transform("vertices", lambda p: F.struct(geo.geodetic_to_ecef(F.col("bounds.west") + p.u * geo.width(F.col("bounds")), F.col("bounds.south") + p.v * geo.height(F.col("bounds")), p.h).alias("p")))
+    whole = lambda v: v / F.lit(float(quantize.STEPS))
+    at = F.transform(F.arrays_zip("q.u", "q.v", "q.height"), lambda p: F.struct(geo.geodetic_to_ecef(F.col("bounds.west") + whole(p.u) * geo.width(F.col("bounds")), F.col("bounds.south") + whole(p.v) * geo.height(F.col("bounds")), F.col("lo") + whole(p.height) * (F.col("hi") - F.col("lo"))).alias("p")))
     vertex = mesh.select(*keys, F.posexplode(at).alias("vid", "s")).select(*keys, "vid", *[F.col(f"s.p.{c}").alias(f"p{c}") for c in "xyz"])
     tri = mesh.select(*keys, "indices", F.explode(F.sequence(F.lit(0), (F.size("indices") / 3).cast("int") - 1)).alias("tid"))
     triangle = tri.select(*keys, "tid", *[F.get("indices", F.col("tid") * 3 + i).alias(c) for i, c in enumerate("abc")])
@@ -61,7 +65,44 @@ def with_face_normals(mesh: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def encode_terrain(tiles: DataFrame, cells: int, keys: list[str], options: Options | None = None) -> DataFrame:
-    """keys and ``content`` of each tile."""
+    """keys and ``content`` of each tile (``bounds``, ``heights`` of (cells+1)², for gradient normals ``halo``).
+
+    One Arrow step from heights to bytes by numpy kernels, without a shuffle, for grids of any size; optional columns
+    ``mask`` and ``metadata`` go into the bytes. ``meshes`` is the same work in columns.
+    """
+    options = options or Options()
+    side = cells + 1
+    more = [c for c in ("mask", "metadata") if c in tiles.columns]
+    used = [*keys, "bounds", "heights", *(["halo"] if options.normals == "gradient" else []), *more]
+
+    def run(batches):
+        tri = kernels.triangles(cells)
+        for batch in batches:
+            bounds = [tuple(r[c] for c in ("west", "south", "east", "north")) for r in batch["bounds"].to_pylist()]
+            heights = tilebytes.lists(batch["heights"])
+            if any(len(h) != side * side for h in heights):
+                raise ValueError(f"a grid needs {side * side} heights")
+            halos = tilebytes.lists(batch["halo"]) if options.normals == "gradient" else [None] * len(heights)
+            rest, made = {c: batch[c].to_pylist() for c in more}, []
+            at_once = max(1, 2_000_000 // (side * side))
+            for k in range(0, len(heights), at_once):
+                some = np.array(heights[k : k + at_once], float).reshape(-1, side * side)
+                curved = some + np.array([kernels.bulge(cells, b) for b in bounds[k : k + at_once]])
+                for i, (h, e) in enumerate(zip(some, tri.errors(curved), strict=True), k):
+                    parts = kernels.tile(h, e, bounds[i], cells, options.max_error, options.normals, halos[i], options.buffer)
+                    made.append(tilebytes.encode_tile(parts["header"], parts["u"], parts["v"], parts["height"], parts["indices"], parts["edges"], parts.get("normals"), level=options.level, **{c: rest[c][i] for c in more}))
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in keys], pa.array(made, pa.binary())], [*keys, "content"])
+
+    doubles = F.transform("heights", lambda h: F.coalesce(h.cast("double"), F.lit(float("nan"))))
+    source = tiles.withColumn("heights", doubles)
+    if options.normals == "gradient":
+        source = source.withColumn("halo", F.transform("halo", lambda h: F.coalesce(h.cast("double"), F.lit(float("nan")))))
+    schema = T.StructType([*[tiles.schema[k] for k in keys], T.StructField("content", T.BinaryType())])
+    return source.select(*used).mapInArrow(run, schema)
+
+
+def encode_columns(tiles: DataFrame, cells: int, keys: list[str], options: Options | None = None) -> DataFrame:
+    """The same bytes by the column forms, for grids up to about 32 cells; the kernels are held against it."""
     options = options or Options()
     made = meshes(tiles, cells, options)
     if options.normals == "face":
@@ -69,15 +110,19 @@ def encode_terrain(tiles: DataFrame, cells: int, keys: list[str], options: Optio
     return tilebytes.encode_tiles(made, keys, options.level)
 
 
-def encode_rasters(boxes: DataFrame, pixels: DataFrame, z: Column, tile_size: int, cells: int, keys: list[str], options: Options | None = None) -> DataFrame:
-    """keys and ``content`` of the tiles over ``boxes`` (keys, ``bounds``), with heights from the mercator pixels(px, py, h) of zoom ``z``."""
+def encode_rasters(boxes: DataFrame, rasters: DataFrame, tile_size: int, cells: int, keys: list[str], options: Options | None = None) -> DataFrame:
+    """keys and ``content`` of the tiles over ``boxes`` (keys, ``bounds``, ``z`` of the rasters to take), with heights from mercator ``rasters`` (z, x, y, heights)."""
     options = options or Options()
-    buffer, side = options.buffer if options.normals == "gradient" else 0, cells + 1
-    tiles = resample.geodetic_grid(boxes, pixels, z, tile_size, side, keys, buffer)
-    if buffer:
-        full = side + 2 * buffer
-        inner = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(cells)), lambda j: F.slice("halo", (j + buffer) * full + buffer + 1, F.lit(side))))
-        tiles = tiles.withColumnRenamed("heights", "halo").withColumn("heights", inner)
-    elif options.normals == "gradient":
-        tiles = tiles.withColumn("halo", F.col("heights"))
-    return encode_terrain(tiles, cells, keys, options)
+    buffer = options.buffer if options.normals == "gradient" else 0
+    return encode_terrain(resample.geodetic_grids(boxes, rasters, tile_size, cells + 1, keys, buffer), cells, keys, options)
+
+
+def verified(tiles: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, and what the bytes of each ``content`` decode to in short: vertices, triangles, height range, bytes of normals; a message if they are no tile."""
+    d = tilebytes.decode_tiles(tiles, keys, strict=False, sections=["header", "u", "indices", "normals"])
+    return d.select(*keys, F.size("u").cast("long").alias("vertices"), (F.size("indices") / 3).cast("long").alias("triangles"), F.col("header.min_height").alias("lo"), F.col("header.max_height").alias("hi"), F.length("normals").alias("normal_bytes"), "corrupt")
+
+
+def reproject(boxes: DataFrame, images: DataFrame, tile_size: int, cells: int, keys: list[str], options: Options | None = None, fmt: str = "terrarium") -> DataFrame:
+    """The whole job: images (z, x, y, content) of mercator heights in, terrain tiles of ``boxes`` out, as keys and ``content``."""
+    return encode_rasters(boxes, png.image_heights(images, ["z", "x", "y"], fmt, tile_size), tile_size, cells, keys, options)

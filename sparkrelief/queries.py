@@ -6,6 +6,8 @@ heights, north up, in thousandths; tiles lie side by side in rows of 20.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,10 +52,10 @@ def _tiles(spark, sf_dir, extra=()) -> DataFrame:
     return _read(spark, sf_dir, "embeddings", "vec_id", h.alias("heights"), x.alias("x"), y.alias("y"))
 
 
-def _pixels(spark, sf_dir) -> DataFrame:
-    """px, py, h of all tiles side by side."""
-    t = _tiles(spark, sf_dir).select("x", "y", F.posexplode("heights").alias("i", "h"))
-    return t.select((F.col("x") * 8 + F.col("i") % 8).cast("long").alias("px"), (F.col("y") * 8 + F.floor(F.col("i") / 8)).cast("long").alias("py"), "h")
+def _rasters(spark, sf_dir) -> DataFrame:
+    """z, x, y, heights of the tiles at two zooms; at 6 they are half as high, and 100 more."""
+    t = _tiles(spark, sf_dir)
+    return t.select(F.lit(7).alias("z"), "x", "y", "heights").unionByName(t.select(F.lit(6).alias("z"), "x", "y", F.transform("heights", lambda h: h / 2 + 100).alias("heights")))
 
 
 def _padded(spark, sf_dir) -> DataFrame:
@@ -205,10 +207,14 @@ def height_range_quantize(spark, sf_dir):
     return q.select("vec_id", F.col("z.u").alias("uq"), F.col("z.v").alias("vq"), F.col("z.height").alias("hq"))
 
 
-@_query(_VERTS + "SELECT vec_id, count(*) FILTER (p%9=0) AS west, count(*) FILTER (p//9=8) AS south, count(*) FILTER (p%9=8) AS east, count(*) FILTER (p//9=0) AS north FROM vp GROUP BY 1")
+@_query(_VERTS + """SELECT vec_id, edge, CAST(row_number() OVER (PARTITION BY vec_id, edge ORDER BY along)-1 AS INT) AS place, CAST(p AS INT) AS post FROM (SELECT vec_id, 'west' AS edge, -(p//9) AS along, p FROM vp WHERE p%9=0
+UNION ALL SELECT vec_id, 'south', p%9, p FROM vp WHERE p//9=8 UNION ALL SELECT vec_id, 'east', -(p//9), p FROM vp WHERE p%9=8 UNION ALL SELECT vec_id, 'north', p%9, p FROM vp WHERE p//9=0)""")
 def edge_indices(spark, sf_dir):
+    """The vertices along each edge of each tile, in order, as grid posts."""
     m = encode.meshes(_flat_curve(spark, sf_dir), 8, encode.Options(max_error=200.0))
-    return m.select("vec_id", *[F.size(f"edges.{e}").cast("long").alias(e) for e in ("west", "south", "east", "north")])
+    each = m.select("vec_id", "vertices", F.explode(F.array(*[F.struct(F.lit(e).alias("edge"), F.col(f"edges.{e}").alias("at")) for e in ("west", "south", "east", "north")])).alias("e"))
+    v = each.select("vec_id", "vertices", "e.edge", F.posexplode("e.at").alias("place", "i")).withColumn("v", F.get("vertices", F.col("i")))
+    return v.select("vec_id", "edge", "place", (F.col("v.gy") * 9 + F.col("v.gx")).alias("post"))
 
 
 def _flat_curve(spark, sf_dir) -> DataFrame:
@@ -242,26 +248,44 @@ def layer_json(spark, sf_dir):
 
 @_query("WITH m AS (SELECT o_custkey, count(*) AS n, min(v) AS lo, max(v) AS hi FROM (SELECT o_custkey, CASE WHEN o_orderkey%7=0 THEN 255 ELSE 0 END AS v FROM orders) GROUP BY 1) SELECT o_custkey, CASE WHEN lo=hi THEN 'uniform' ELSE 'grid' END AS kind, CAST(CASE WHEN lo=hi THEN lo END AS INT) AS uniform FROM m")
 def water_mask_collapse(spark, sf_dir):
-    t = _read(spark, sf_dir, "orders", "o_custkey", F.when(F.col("o_orderkey") % 7 == 0, 255).otherwise(0).alias("v")).groupBy("o_custkey").agg(F.collect_list("v").alias("v"))
-    full = F.flatten(F.array_repeat("v", F.ceil(F.lit(65536.0) / F.size("v")).cast("int")))
-    m = t.select("o_custkey", avail.collapsed_mask(full).alias("m"))
-    return m.select("o_custkey", "m.kind", "m.uniform")
+    """Whether each customer's mask has one value; from sums, as a customer may have any number of orders."""
+    v = F.when(F.col("o_orderkey") % 7 == 0, 255).otherwise(0)
+    t = _read(spark, sf_dir, "orders", "o_custkey", v.alias("v")).groupBy("o_custkey").agg(avail.collapsed(F.min("v"), F.max("v")).alias("m"))
+    return t.select("o_custkey", "m.kind", "m.uniform")
+
 
+_SQL_RASTERS = """ras AS (SELECT 7 AS z, vec_id, vec_id%20 AS x, vec_id//20 AS y, list_transform(CAST(embedding AS DOUBLE[]), lambda e: e*1000) AS g FROM embeddings
+UNION ALL SELECT 6, vec_id, vec_id%20, vec_id//20, list_transform(CAST(embedding AS DOUBLE[]), lambda e: e*1000/2+100) FROM embeddings)"""
 
-@_query("SELECT e.vec_id, CAST(g.i AS INT) AS post, round(CASE WHEN i%9<8 AND i//9<8 THEN e.embedding[i//9*8+i%9+1] WHEN i//9<8 THEN coalesce(r.embedding[i//9*8+1], e.embedding[i//9*8+8]) WHEN i%9<8 THEN coalesce(s.embedding[i%9+1], e.embedding[57+i%9]) ELSE coalesce(d.embedding[1], s.embedding[8], r.embedding[57], e.embedding[64]) END*1000,3) AS h FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS embedding, vec_id%20 AS x, vec_id//20 AS y FROM embeddings) e CROSS JOIN range(81) g(i) LEFT JOIN (SELECT CAST(embedding AS DOUBLE[]) AS embedding, vec_id%20 AS x, vec_id//20 AS y FROM embeddings) r ON r.x=e.x+1 AND r.y=e.y LEFT JOIN (SELECT CAST(embedding AS DOUBLE[]) AS embedding, vec_id%20 AS x, vec_id//20 AS y FROM embeddings) s ON s.x=e.x AND s.y=e.y+1 LEFT JOIN (SELECT CAST(embedding AS DOUBLE[]) AS embedding, vec_id%20 AS x, vec_id//20 AS y FROM embeddings) d ON d.x=e.x+1 AND d.y=e.y+1")
+
+@_query(f"WITH {_SQL_RASTERS} SELECT e.z, e.x, e.y, CAST(i AS INT) AS post, round(CASE WHEN i%9<8 AND i//9<8 THEN e.g[i//9*8+i%9+1] WHEN i//9<8 THEN coalesce(r.g[i//9*8+1], e.g[i//9*8+8]) WHEN i%9<8 THEN coalesce(s.g[i%9+1], e.g[57+i%9]) ELSE coalesce(d.g[1], s.g[8], r.g[57], e.g[64]) END,3) AS h FROM ras e CROSS JOIN range(81) k(i) LEFT JOIN ras r ON r.z=e.z AND r.x=e.x+1 AND r.y=e.y LEFT JOIN ras s ON s.z=e.z AND s.x=e.x AND s.y=e.y+1 LEFT JOIN ras d ON d.z=e.z AND d.x=e.x+1 AND d.y=e.y+1")
 def halo_pad(spark, sf_dir):
-    return resample.padded(_tiles(spark, sf_dir), 8).select("vec_id", F.posexplode("heights").alias("post", "v")).select("vec_id", "post", F.round("v", 3).alias("h"))
+    t = _rasters(spark, sf_dir).select("z", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "heights")
+    return resample.padded(t, 8, ["z"]).select("z", "x", "y", F.posexplode("heights").alias("post", "v")).select("z", "x", "y", "post", F.round("v", 3).alias("h"))
 
 
 _SQL_AXIS = "least(greatest(floor({v}),{lo}),{hi})"
 
 
-@_query(f"WITH {_sql_points('supplier', 's_suppkey')}, ax AS (SELECT k, (lon+180)/360*128*8-0.5 AS gx, (1-asinh(tan(radians(lat)))/pi())/2*128*8-0.5 AS gy FROM pts), pt AS (SELECT k, floor(gx) AS ix, floor(gy) AS iy, gx-floor(gx) AS tx, gy-floor(gy) AS ty FROM ax), px AS (SELECT vec_id%20*8+i%8 AS px, vec_id//20*8+i//8 AS py, CAST(embedding[i+1] AS DOUBLE)*1000 AS h FROM embeddings, range(64) r(i)), g AS (SELECT p.k, tx, ty, q.h, q.px=least(greatest(ix,0),159) AND q.py=least(greatest(iy,0),199) AS c00, least(greatest(ix,0),159) x0, least(greatest(ix+1,0),159) x1, least(greatest(iy,0),199) y0, least(greatest(iy+1,0),199) y1, q.px, q.py FROM pt p JOIN px q ON q.px IN (least(greatest(ix,0),159), least(greatest(ix+1,0),159)) AND q.py IN (least(greatest(iy,0),199), least(greatest(iy+1,0),199))), s AS (SELECT k, any_value(tx) tx, any_value(ty) ty, max(h) FILTER (px=x0 AND py=y0) a, max(h) FILTER (px=x1 AND py=y0) b, max(h) FILTER (px=x0 AND py=y1) c, max(h) FILTER (px=x1 AND py=y1) d FROM g GROUP BY 1) SELECT k, round((a+(b-a)*tx)+((c+(d-c)*tx)-(a+(b-a)*tx))*ty,3) AS h FROM s")
+_SQL_PIXELS = "px AS (SELECT vec_id%20*8+i%8 AS px, vec_id//20*8+i//8 AS py, CAST(embedding[i+1] AS DOUBLE)*1000 AS h FROM embeddings, range(64) r(i)), lim AS (SELECT min(px) AS xl, max(px) AS xh, min(py) AS yl, max(py) AS yh FROM px)"
+
+
+def _sql_bilinear(keys: str, places: str, limits: str = "lim", pixels: str = "px", zoom: str = "") -> str:
+    """Heights at continuous places (x, y) of ``places``, with ``limits`` xl, xh, yl, yh."""
+    axis = ", ".join(_SQL_AXIS.format(v=f"floor({c})+{d}", lo=f"{c}l", hi=f"{c}h") + f" AS {c}{d}" for c in "xy" for d in (0, 1))
+    same = (lambda n: f" AND {n}.z=q.z") if zoom else lambda n: ""
+    corners = " ".join(f"JOIN {pixels} {n} ON {n}.px=x{i} AND {n}.py=y{j}{same(n)}" for n, i, j in (("a", 0, 0), ("b", 1, 0), ("c", 0, 1), ("d", 1, 1)))
+    return f"SELECT {keys}, round((a.h+(b.h-a.h)*tx)+((c.h+(d.h-c.h)*tx)-(a.h+(b.h-a.h)*tx))*ty,3)+0 AS h FROM (SELECT {keys}, x-floor(x) AS tx, y-floor(y) AS ty, {axis} FROM {places}{', ' + limits if limits else ''}) q {corners}"
+
+
+@_query(f"WITH {_sql_points('supplier', 's_suppkey')}, ax AS (SELECT k, (lon+180)/360*1024-0.5 AS x, (1-asinh(tan(radians(lat)))/pi())/2*1024-0.5 AS y FROM pts), {_SQL_PIXELS} {_sql_bilinear('k', 'ax')}")
 def mercator_sample(spark, sf_dir):
-    pixels = _pixels(spark, sf_dir)
+    rasters = _tiles(spark, sf_dir).select(F.lit(7).alias("z"), "x", "y", "heights")
+    edge = rasters.agg(*[f(c).cast("long").alias(f"{n}{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))])
+    block = edge.select(F.struct((F.col("lox") * 8).alias("x_lo"), (F.col("hix") * 8 + 7).alias("x_hi"), (F.col("loy") * 8).alias("y_lo"), (F.col("hiy") * 8 + 7).alias("y_hi")).alias("block"))
     ax, ay = resample.pixel_axes(F.col("lon"), F.col("lat"), F.lit(7), 8, F.col("block"))
-    points = _points(spark, sf_dir, "supplier", "s_suppkey").crossJoin(F.broadcast(resample.block_limits(pixels))).select("k", ax.alias("ax"), ay.alias("ay"))
-    return resample.sample(points, pixels, ["k"]).select("k", F.round("h", 3).alias("h"))
+    points = _points(spark, sf_dir, "supplier", "s_suppkey").crossJoin(F.broadcast(block)).select("k", F.lit(7).alias("z"), ax.alias("ax"), ay.alias("ay"))
+    return resample.sample(points, rasters, 8, ["k"]).select("k", (F.round("h", 3) + F.lit(0.0)).alias("h"))
 
 
 @_query(f"WITH {_sql_points('nation', 'n_nationkey')} SELECT k, x0, y0, x1-x0+1 AS tiles_x, y1-y0+1 AS tiles_y FROM (SELECT k, CAST(floor((lon+180)/360*256) AS BIGINT) x0, CAST(floor((1-asinh(tan(radians(least(lat+3,85.05112877980659))))/pi())/2*256) AS BIGINT) y0, CAST(least(floor((least(lon+5,180)+180)/360*256),255) AS BIGINT) x1, CAST(floor((1-asinh(tan(radians(lat)))/pi())/2*256) AS BIGINT) y1 FROM pts)")
@@ -277,29 +301,32 @@ def buffered_geodetic(spark, sf_dir):
     return resample.geodetic_posts(p, 9, 1).select("k", "gx", "gy", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 
-_SQL_PIXELS = "px AS (SELECT vec_id%20*8+i%8 AS px, vec_id//20*8+i//8 AS py, CAST(embedding[i+1] AS DOUBLE)*1000 AS h FROM embeddings, range(64) r(i)), lim AS (SELECT min(px) AS xl, max(px) AS xh, min(py) AS yl, max(py) AS yh FROM px)"
+_FRACTION = "(1-asinh(tan(radians(greatest(least({lat},85.05112877980659),-85.05112877980659))))/pi())/2"
 
 
 def _sql_grid_heights(buffer: int) -> str:
-    """Heights at the posts of ``_boxes``."""
-    axis = ", ".join(_SQL_AXIS.format(v=f"{c}+{d}", lo=f"{c}l", hi=f"{c}h") + f" AS {c}{d}" for c in "xy" for d in (0, 1))
-    corners = " ".join(f"JOIN px {n} ON {n}.px=x{i} AND {n}.py=y{j}" for n, i, j in (("a", 0, 0), ("b", 1, 0), ("c", 0, 1), ("d", 1, 1)))
-    return f"""WITH {_SQL_PIXELS}, pt AS (SELECT CAST(n_nationkey AS BIGINT) AS k, CAST(gx AS INT) AS gx, CAST(gy AS INT) AS gy, CAST(n_nationkey AS DOUBLE)*2-179.5+gx*0.25 AS lon, CAST(n_nationkey%10 AS DOUBLE)+75.5-gy*0.25 AS lat FROM nation, range({-buffer},{9 + buffer}) s(gx), range({-buffer},{9 + buffer}) t(gy)),
-ax AS (SELECT k, gx, gy, (lon+180)/360*1024-0.5 AS x, (1-asinh(tan(radians(lat)))/pi())/2*1024-0.5 AS y FROM pt), q AS (SELECT k, gx, gy, x-floor(x) AS tx, y-floor(y) AS ty, {axis} FROM ax, lim)
-SELECT k, gx, gy, round((a.h+(b.h-a.h)*tx)+((c.h+(d.h-c.h)*tx)-(a.h+(b.h-a.h)*tx))*ty,3)+0 AS h FROM q {corners}"""
+    """Heights at the posts of ``_boxes``, each within the block of its covering tiles."""
+    n, wide = "CAST(1<<z AS DOUBLE)", buffer * 0.25
+    tile = lambda v: f"least(greatest(floor({v}*{n}),0),{n}-1)"
+    row = lambda lat: tile(_FRACTION.format(lat=lat))
+    return f"""WITH {_SQL_RASTERS}, px AS (SELECT z, x*8+i%8 AS px, y*8+i//8 AS py, g[i+1] AS h FROM ras, range(64) r(i)),
+bx AS (SELECT k, z, w, s, {tile(f"(w-{wide}+180)/360")}*8 AS xl, {tile(f"(w+2+{wide}+180)/360")}*8+7 AS xh, {row(f"s+2+{wide}")}*8 AS yl, {row(f"s-{wide}")}*8+7 AS yh
+ FROM (SELECT CAST(n_nationkey AS BIGINT) AS k, CAST(z AS INT) AS z, CAST(n_nationkey AS DOUBLE)*2-179.5 AS w, CAST(n_nationkey%10 AS DOUBLE)+73.5 AS s FROM nation, range(6,8) r(z))),
+ax AS (SELECT k, z, CAST(gx AS INT) AS gx, CAST(gy AS INT) AS gy, (w+gx*0.25+180)/360*8*{n}-0.5 AS x, {_FRACTION.format(lat="s+2-gy*0.25")}*8*{n}-0.5 AS y, xl, xh, yl, yh FROM bx, range({-buffer},{9 + buffer}) a(gx), range({-buffer},{9 + buffer}) b(gy))
+{_sql_bilinear("k, z, gx, gy", "ax", "", "px", "z").replace("SELECT k, z, gx, gy, round", "SELECT q.k, q.z, q.gx, q.gy, round", 1)}"""
 
 
 def _boxes(spark, sf_dir) -> DataFrame:
-    """Boxes of two degrees over the raster of the tiles, one for each nation."""
+    """Boxes of two degrees over the rasters, one for each nation and zoom."""
     k = F.col("n_nationkey").cast("long")
     west, south = k.cast("double") * 2 - 179.5, (k % 10).cast("double") + 73.5
-    return _read(spark, sf_dir, "nation", k.alias("k"), geo.bounds(west, south, west + 2, south + 2).alias("bounds"))
+    return _read(spark, sf_dir, "nation", k.alias("k"), geo.bounds(west, south, west + 2, south + 2).alias("bounds")).withColumn("z", F.explode(F.array(F.lit(6), F.lit(7))))
 
 
 def _grid_heights(spark, sf_dir, buffer: int) -> DataFrame:
-    side = 9 + 2 * buffer
-    g = resample.geodetic_grid(_boxes(spark, sf_dir), _pixels(spark, sf_dir), F.lit(7), 8, 9, ["k"], buffer).select("k", F.posexplode("heights").alias("i", "h"))
-    return g.select("k", (F.col("i") % side - buffer).alias("gx"), (F.floor(F.col("i") / side) - buffer).cast("int").alias("gy"), (F.round("h", 3) + F.lit(0.0)).alias("h"))
+    side, name = 9 + 2 * buffer, "halo" if buffer else "heights"
+    g = resample.geodetic_grids(_boxes(spark, sf_dir), _rasters(spark, sf_dir), 8, 9, ["k", "z"], buffer).select("k", "z", F.posexplode(name).alias("i", "h"))
+    return g.select("k", "z", (F.col("i") % side - buffer).alias("gx"), (F.floor(F.col("i") / side) - buffer).cast("int").alias("gy"), (F.round("h", 3) + F.lit(0.0)).alias("h"))
 
 
 @_query(_sql_grid_heights(0))
@@ -314,10 +341,10 @@ def buffered_geodetic_heights(spark, sf_dir):
 
 @_query()
 def raster_tiles(spark, sf_dir):
-    """Tiles from a mercator raster to bytes and back: triangles, vertices, height range and bytes of normals of each."""
-    tiles = encode.encode_rasters(_boxes(spark, sf_dir), _pixels(spark, sf_dir), F.lit(7), 8, 8, ["k"], encode.Options(max_error=50.0, normals="gradient"))
-    d = tilebytes.decode_tiles(tiles, ["k"], sections=["header", "u", "indices", "normals"])
-    return d.select("k", (F.size("indices") / 3).cast("long").alias("triangles"), F.size("u").cast("long").alias("vertices"), F.round("header.min_height", 1).alias("lo"), F.round("header.max_height", 1).alias("hi"), F.length("normals").alias("normal_bytes"))
+    """The whole job: images of heights at two zooms to tile bytes with normals, and what these decode to."""
+    images = png.height_images(_rasters(spark, sf_dir), ["z", "x", "y"], "terrarium", 8)
+    tiles = encode.reproject(_boxes(spark, sf_dir), images, 8, 8, ["k", "z"], encode.Options(max_error=50.0, normals="gradient"))
+    return encode.verified(tiles, ["k", "z"]).select("k", "z", "triangles", "vertices", F.round("lo", 1).alias("lo"), F.round("hi", 1).alias("hi"), "normal_bytes", "corrupt")
 
 
 _SQL_BOUNDS = "b AS (SELECT vec_id, (vec_id%20)*180/128.0-180 AS west, (vec_id//20)*180/128.0-90 AS south, (vec_id%20+1)*180/128.0-180 AS east, (vec_id//20+1)*180/128.0-90 AS north FROM embeddings)"
@@ -330,15 +357,6 @@ def _sql_ecef(lon: str, lat: str, h: str) -> str:
     return f"({n}+{h})*cos(radians({lat}))*cos(radians({lon})) AS x, ({n}+{h})*cos(radians({lat}))*sin(radians({lon})) AS y, ({n}*(1-{e2!r})+{h})*sin(radians({lat})) AS z"
 
 
-@_query(f"""WITH {_SQL_GRID}, {_SQL_BOUNDS}, g AS (SELECT vec_id, max(h) FILTER (gx=4 AND gy=4) AS m, max(h) FILTER (gx=3 AND gy=4) AS w, max(h) FILTER (gx=5 AND gy=4) AS e, max(h) FILTER (gx=4 AND gy=3) AS n, max(h) FILTER (gx=4 AND gy=5) AS s FROM grid GROUP BY 1),
-d AS (SELECT vec_id, radians((west+east)/2) AS lam, radians((south+north)/2) AS phi, ((e+m)/2-(m+w)/2)/((east-west)/8*radians({geo.WGS84_A})*cos(radians((south+north)/2))) AS dx, ((m+n)/2-(m+s)/2)/((north-south)/8*radians({geo.WGS84_A})) AS dy FROM g JOIN b USING (vec_id)),
-v AS (SELECT vec_id, dx*sin(lam)+dy*sin(phi)*cos(lam)+cos(phi)*cos(lam) AS x, -dx*cos(lam)+dy*sin(phi)*sin(lam)+cos(phi)*sin(lam) AS y, -dy*cos(phi)+sin(phi) AS z FROM d)
-SELECT vec_id, round(x/l,6)+0 AS nx, round(y/l,6)+0 AS ny, round(z/l,6)+0 AS nz FROM (SELECT *, sqrt(x*x+y*y+z*z) AS l FROM v)""")
-def gradient_normals(spark, sf_dir):
-    n = normals.gradient_normal(F.lit(0.5), F.lit(0.5), F.col("bounds"), F.col("heights"), 8, 0)
-    return _padded(spark, sf_dir).select("vec_id", n.alias("n")).select("vec_id", *[(F.round(f"n.{c}", 6) + F.lit(0.0)).alias(f"n{c}") for c in "xyz"])
-
-
 @_query(f"""WITH {_SQL_PIXELS}, t AS (SELECT vec_id, x, y, x*180/128.0-180 AS west, (127-y)*180/128.0-90 AS south, 180/128.0 AS deg FROM (SELECT vec_id, vec_id%20 AS x, vec_id//20 AS y FROM embeddings)),
 p AS (SELECT t.*, CAST(gy*9+gx AS INT) AS post, gx, gy, x*8+gx AS qx, y*8+gy AS qy FROM t, range(9) r(gx), range(9) s(gy)),
 c AS (SELECT p.*, least(qx,xh) AS mx, greatest(qx-1,xl) AS wx, least(qx+1,xh) AS ex, least(qy,yh) AS my, greatest(qy-1,yl) AS ny, least(qy+1,yh) AS sy FROM p, lim),
@@ -350,9 +368,8 @@ def gradient_normals_halo(spark, sf_dir):
     """A normal for each of the 81 posts of a tile, from a halo of the neighbours; rows of tiles go to the south here, so the bounds count from the north."""
     b = geo.geodetic_bounds(F.col("x").cast("long"), (127 - F.col("y")).cast("long"), F.lit(7))
     t = resample.halo(_tiles(spark, sf_dir), 8, 1).select("vec_id", "halo", b.alias("bounds"))
-    post = lambda s: lambda i: normals.gradient_normal((i % 9) / 8, 1 - F.floor(i / 9) / 8, s.b, s.h, 8, 1)
-    n = geo.let(F.struct(F.col("bounds").alias("b"), F.col("halo").alias("h")), lambda s: F.transform(F.sequence(F.lit(0), F.lit(80)), post(s)))
-    return t.select("vec_id", F.posexplode(n).alias("post", "n")).select("vec_id", "post", *[(F.round(f"n.{c}", 6) + F.lit(0.0)).alias(f"n{c}") for c in "xyz"])
+    n = normals.grid_normals(t, ["vec_id"], 8, 1).select("vec_id", F.posexplode("normals").alias("post", "n"))
+    return n.select("vec_id", "post", *[(F.round(f"n.{c}", 6) + F.lit(0.0)).alias(f"n{c}") for c in "xyz"])
 
 
 @_query("""WITH v AS (SELECT vec_id, i AS vid, CAST(i%8 AS DOUBLE) AS px, CAST(i//8 AS DOUBLE) AS py, CAST(embedding[i+1] AS DOUBLE) AS pz FROM embeddings, range(64) r(i)),
@@ -374,13 +391,27 @@ def face_normals(spark, sf_dir):
     return n.select("vec_id", "vid", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("nx", "ny", "nz")])
 
 
-@_query("""WITH n AS (SELECT vec_id, CAST(x/l AS FLOAT) AS x, CAST(y/l AS FLOAT) AS y, CAST(z/l AS FLOAT) AS z FROM (SELECT *, sqrt(x*x+y*y+z*z) AS l FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings))),
-p AS (SELECT vec_id, z, CAST(x/CAST(abs(x)+abs(y)+abs(z) AS FLOAT) AS FLOAT) AS px, CAST(y/CAST(abs(x)+abs(y)+abs(z) AS FLOAT) AS FLOAT) AS py FROM n),
-f AS (SELECT vec_id, CASE WHEN z<0 THEN CAST(CAST(1 AS FLOAT)-abs(py) AS FLOAT)*(CASE WHEN px>=0 THEN CAST(1 AS FLOAT) ELSE CAST(-1 AS FLOAT) END) ELSE px END AS u, CASE WHEN z<0 THEN CAST(CAST(1 AS FLOAT)-abs(px) AS FLOAT)*(CASE WHEN py>=0 THEN CAST(1 AS FLOAT) ELSE CAST(-1 AS FLOAT) END) ELSE py END AS v FROM p)
-SELECT vec_id, CAST(trunc((u*CAST(0.5 AS FLOAT)+CAST(0.5 AS FLOAT))*CAST(255 AS FLOAT)) AS INT) AS a, CAST(trunc((v*CAST(0.5 AS FLOAT)+CAST(0.5 AS FLOAT))*CAST(255 AS FLOAT)) AS INT) AS b FROM f""")
+@_query("""WITH n AS (SELECT vec_id, i, CAST(x/l AS FLOAT) AS x, CAST(y/l AS FLOAT) AS y, CAST(z/l AS FLOAT) AS z FROM (SELECT *, sqrt(x*x+y*y+z*z) AS l FROM (SELECT vec_id, CAST(i AS INT) AS i, CAST(embedding[3*i+1] AS DOUBLE) AS x, CAST(embedding[3*i+2] AS DOUBLE) AS y, CAST(embedding[3*i+3] AS DOUBLE) AS z FROM embeddings, range(21) r(i)))),
+p AS (SELECT vec_id, i, z, CAST(x/CAST(abs(x)+abs(y)+abs(z) AS FLOAT) AS FLOAT) AS px, CAST(y/CAST(abs(x)+abs(y)+abs(z) AS FLOAT) AS FLOAT) AS py FROM n),
+f AS (SELECT vec_id, i, CASE WHEN z<0 THEN CAST(CAST(1 AS FLOAT)-abs(py) AS FLOAT)*(CASE WHEN px>=0 THEN CAST(1 AS FLOAT) ELSE CAST(-1 AS FLOAT) END) ELSE px END AS u, CASE WHEN z<0 THEN CAST(CAST(1 AS FLOAT)-abs(px) AS FLOAT)*(CASE WHEN py>=0 THEN CAST(1 AS FLOAT) ELSE CAST(-1 AS FLOAT) END) ELSE py END AS v FROM p)
+SELECT vec_id, i, CAST(trunc((u*CAST(0.5 AS FLOAT)+CAST(0.5 AS FLOAT))*CAST(255 AS FLOAT)) AS INT) AS a, CAST(trunc((v*CAST(0.5 AS FLOAT)+CAST(0.5 AS FLOAT))*CAST(255 AS FLOAT)) AS INT) AS b FROM f""")
 def oct_codec(spark, sf_dir):
-    v = geo.normalised(geo.xyz(*[F.get("embedding", F.lit(i)).cast("double") for i in range(3)]))
-    return _read(spark, sf_dir, "embeddings", "vec_id", codec.oct_encode(v).alias("o")).select("vec_id", "o.a", "o.b")
+    """Each three components of an embedding as a unit vector, and its two bytes."""
+    v = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: geo.normalised(geo.xyz(*[F.get("embedding", i * 3 + k).cast("double") for k in range(3)])))
+    t = _read(spark, sf_dir, "embeddings", "vec_id", F.posexplode(v).alias("i", "v"))
+    return t.select("vec_id", "i", codec.oct_encode(F.col("v")).alias("o")).select("vec_id", "i", "o.a", "o.b")
+
+
+@_query("""WITH p AS (SELECT a, b, a/255.0*2-1 AS x, b/255.0*2-1 AS y FROM (SELECT DISTINCT CAST(l_partkey%256 AS INT) AS a, CAST(l_suppkey%256 AS INT) AS b FROM lineitem)),
+q AS (SELECT a, b, x, y, 1-abs(x)-abs(y) AS z FROM p), f AS (SELECT a, b, z, CASE WHEN z<0 THEN (1-abs(y))*(CASE WHEN x>=0 THEN 1 ELSE -1 END) ELSE x END AS x, CASE WHEN z<0 THEN (1-abs(x))*(CASE WHEN y>=0 THEN 1 ELSE -1 END) ELSE y END AS y FROM q)
+SELECT a, b, round(CAST(CAST(x/sqrt(x*x+y*y+z*z) AS FLOAT) AS DOUBLE),5)+0 AS x, round(CAST(CAST(y/sqrt(x*x+y*y+z*z) AS FLOAT) AS DOUBLE),5)+0 AS y, round(CAST(CAST(z/sqrt(x*x+y*y+z*z) AS FLOAT) AS DOUBLE),5)+0 AS z FROM f""")
+def oct_vectors(spark, sf_dir):
+    """The vectors of pairs of bytes, packed and taken apart again."""
+    t = _read(spark, sf_dir, "lineitem", (F.col("l_partkey") % 256).cast("int").alias("a"), (F.col("l_suppkey") % 256).cast("int").alias("b")).distinct()
+    packed = t.select(F.unhex(F.concat(F.lpad(F.hex("a"), 2, "0"), F.lpad(F.hex("b"), 2, "0"))).alias("content"))
+    o = packed.select(F.explode(codec.oct_pairs(F.col("content"))).alias("o"))
+    n = o.select("o.a", "o.b", codec.oct_decode(F.col("o")).alias("n"))
+    return n.select("a", "b", *[(F.round(F.col(f"n.{c}").cast("double"), 5) + F.lit(0.0)).alias(c) for c in "xyz"])
 
 
 @_query("""WITH h AS (SELECT vec_id, i, CAST(round((least(greatest(CAST(embedding[i+1] AS DOUBLE)*1000,-1000),12107)+1000)*5) AS INT) AS v FROM embeddings, range(64) r(i))
@@ -406,49 +437,133 @@ def bounding_sphere(spark, sf_dir):
     return s.select("vec_id", *[(F.round(f"s.centre.{c}", 2) + F.lit(0.0)).alias(f"c{c}") for c in "xyz"], F.round("s.radius", 2).alias("radius"))
 
 
-@_query(f"""WITH {_SQL_SAMPLES}, p AS (SELECT vec_id, {_sql_ecef("lon", "lat", "h")} FROM (SELECT vec_id, lon, lat, h FROM corner UNION ALL SELECT vec_id, lon, lat, half FROM side UNION ALL SELECT vec_id, ml, mp, hi FROM r)),
-s AS (SELECT vec_id, x/{geo.WGS84_A} AS x, y/{geo.WGS84_A} AS y, z/{geo.WGS84_B} AS z FROM p), d0 AS (SELECT vec_id, x/{geo.WGS84_A} AS x, y/{geo.WGS84_A} AS y, z/{geo.WGS84_B} AS z FROM mid),
+_SQL_HORIZON = f"""s AS (SELECT vec_id, x/{geo.WGS84_A} AS x, y/{geo.WGS84_A} AS y, z/{geo.WGS84_B} AS z FROM p), d0 AS (SELECT vec_id, x/{geo.WGS84_A} AS x, y/{geo.WGS84_A} AS y, z/{geo.WGS84_B} AS z FROM mid),
 d AS (SELECT vec_id, x/l AS dx, y/l AS dy, z/l AS dz FROM (SELECT *, sqrt(x*x+y*y+z*z) AS l FROM d0)),
 k AS (SELECT vec_id, dx, dy, dz, greatest(sqrt(x*x+y*y+z*z),1) AS m, x*dx+y*dy+z*dz AS dot, sqrt((y*dz-z*dy)**2+(z*dx-x*dz)**2+(x*dy-y*dx)**2) AS crs FROM s JOIN d USING (vec_id)),
 w AS (SELECT vec_id, dx, dy, dz, dot/m/m - crs/m*sqrt(greatest(m*m-1,0))/m AS q FROM k),
 o AS (SELECT vec_id, dx, dy, dz, coalesce(max(1/q) FILTER (q>0),1) AS scale FROM w GROUP BY 1,2,3,4)
-SELECT vec_id, round(dx*scale,5)+0 AS hx, round(dy*scale,5)+0 AS hy, round(dz*scale,5)+0 AS hz FROM o""")
+SELECT vec_id, round(dx*scale,5)+0 AS hx, round(dy*scale,5)+0 AS hy, round(dz*scale,5)+0 AS hz FROM o"""
+
+
+@_query(f"""WITH {_SQL_SAMPLES}, p AS (SELECT vec_id, {_sql_ecef("lon", "lat", "h")} FROM (SELECT vec_id, lon, lat, h FROM corner UNION ALL SELECT vec_id, lon, lat, half FROM side UNION ALL SELECT vec_id, ml, mp, hi FROM r)), {_SQL_HORIZON}""")
 def horizon_point(spark, sf_dir):
+    """Over samples of the bounds, as for tiles without vertices."""
     t = _padded(spark, sf_dir).select("vec_id", "bounds", F.array_min("heights").alias("lo"), F.array_max("heights").alias("hi"))
     h = t.select("vec_id", quantize.horizon_point(F.col("bounds"), F.col("lo"), F.col("hi")).alias("p"))
     return h.select("vec_id", *[(F.round(f"p.{c}", 5) + F.lit(0.0)).alias(f"h{c}") for c in "xyz"])
 
 
-@_query("SELECT vec_id, true AS ok FROM embeddings")
-def encode_decode_identity(spark, sf_dir):
-    """Whether what a tile's bytes decode to is what was encoded."""
-    m = encode.meshes(_padded(spark, sf_dir), 8, encode.Options(max_error=200.0))
-    made = tilebytes.decode_tiles(tilebytes.encode_tiles(m, ["vec_id"], level=6), ["vec_id"])
-    same = (F.col("m.q.u") == F.col("d.u")) & (F.col("m.q.v") == F.col("d.v")) & (F.col("m.q.height") == F.col("d.height")) & (F.col("m.indices").cast("array<bigint>") == F.col("d.indices")) & (F.col("m.header") == F.col("d.header"))
-    return m.alias("m").join(made.alias("d"), "vec_id").select("vec_id", same.alias("ok"))
+@_query(f"""{_VERTS.rstrip()}, {_SQL_BOUNDS}, mid AS (SELECT vec_id, {_sql_ecef("(west+east)/2", "(south+north)/2", "(lo+hi)/2")} FROM rng JOIN b USING (vec_id)),
+p AS (SELECT vec_id, {_sql_ecef("lon", "lat", "h")} FROM (SELECT v.vec_id, west+(v.p%9)/8.0*(east-west) AS lon, south+(1-(v.p//9)/8.0)*(north-south) AS lat, h FROM vh v JOIN b USING (vec_id))), {_SQL_HORIZON}""")
+def horizon_point_mesh(spark, sf_dir):
+    """Over the vertices of the mesh."""
+    m = rtin.mesh(_padded(spark, sf_dir), 8, 200.0).withColumn("vs", rtin.vertices(F.col("posts"), F.col("heights"), 8)).withColumn("r", quantize.height_range(F.col("vs"))).withColumn("e", quantize.vertex_ecef(F.col("vs"), F.col("bounds")))
+    h = m.select("vec_id", quantize.horizon_point(F.col("bounds"), F.col("r.lo"), F.col("r.hi"), F.col("e")).alias("p"))
+    return h.select("vec_id", *[(F.round(f"p.{c}", 5) + F.lit(0.0)).alias(f"h{c}") for c in "xyz"])
 
 
-@_query("SELECT vec_id, true AS ok FROM embeddings")
-def png_roundtrip(spark, sf_dir):
-    import pyarrow as pa
+def _decoded(spark, sf_dir, sections) -> DataFrame:
+    """What the bytes of flat-bounded tiles decode to."""
+    return tilebytes.decode_tiles(encode.encode_terrain(_flat_curve(spark, sf_dir), 8, ["vec_id"], encode.Options(max_error=200.0)), ["vec_id"], sections=sections)
 
-    pixels = F.transform("heights", lambda h: codec.encode_terrarium(h))
-    t = _tiles(spark, sf_dir).select("vec_id", F.unhex(F.array_join(F.transform(pixels, lambda p: F.concat(*[F.lpad(F.hex(p[c]), 2, "0") for c in "rgb"])), "")).alias("rgb"))
 
-    def run(batches):
-        for b in batches:
-            ok = [png.read_png(png.write_png(x, 8, 8)) == (x, 8, 8) for x in b["rgb"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["vec_id"], pa.array(ok)], ["vec_id", "ok"])
+@_query(SQL["height_range_quantize"])
+def decoded_vertices(spark, sf_dir):
+    """Quantised vertices as they come out of tile bytes."""
+    d = _decoded(spark, sf_dir, ["u", "v", "height"]).select("vec_id", F.explode(F.arrays_zip("u", "v", "height")).alias("p"))
+    return d.select("vec_id", F.col("p.u").alias("uq"), F.col("p.v").alias("vq"), F.col("p.height").alias("hq"))
 
-    return t.mapInArrow(run, "vec_id long, ok boolean")
 
+@_query(SQL["rtin_triangles"])
+def decoded_triangles(spark, sf_dir):
+    """Triangles as they come out of tile bytes; a vertex's place gives its post."""
+    d = _decoded(spark, sf_dir, ["u", "v", "indices"])
+    post = lambda k: F.round(F.lit(8.0) - F.get("v", k) / F.lit(32767.0) * 8).cast("int") * 9 + F.round(F.get("u", k) / F.lit(32767.0) * 8).cast("int")
+    t = d.select("vec_id", "u", "v", "indices", F.explode(F.sequence(F.lit(0), (F.size("indices") / 3 - 1).cast("int"))).alias("i"))
+    return t.select("vec_id", *[post(F.get("indices", F.col("i") * 3 + j).cast("int")).alias(c) for j, c in enumerate("abc")])
 
-@_query()
+
+@_query("""SELECT vec_id, CAST(i AS INT) AS post, round(CAST(CAST((v>>16)*256+((v>>8)&255)+CAST(v&255 AS FLOAT)/CAST(256 AS FLOAT) AS FLOAT)-CAST(32768 AS FLOAT) AS DOUBLE),3) AS h
+FROM (SELECT vec_id, i, CAST(trunc((CAST(CAST(embedding[i+1] AS DOUBLE)*1000 AS FLOAT)+CAST(32768 AS FLOAT))*CAST(256 AS FLOAT)) AS INT) AS v FROM embeddings, range(64) r(i))""")
+def png_heights(spark, sf_dir):
+    """Heights as they come out of PNG images."""
+    images = png.height_images(_tiles(spark, sf_dir), ["vec_id"], "terrarium", 8)
+    return png.image_heights(images, ["vec_id"], "terrarium", 8).select("vec_id", F.posexplode("heights").alias("post", "h")).select("vec_id", "post", F.round(F.col("h").cast("double"), 3).alias("h"))
+
+
+@_query("""WITH p AS (SELECT vec_id, i, CAST(round((CAST(CAST(embedding[i+1] AS DOUBLE)*1000 AS FLOAT)+CAST(10000 AS FLOAT))*CAST(10 AS FLOAT)) AS INT) AS v FROM embeddings, range(64) r(i))
+SELECT vec_id, string_agg(printf('%02X%02X%02X', v>>16, (v>>8)&255, v&255), '' ORDER BY i) AS content, round(CAST(CAST(-10000 AS FLOAT)+CAST(max(v) FILTER (i=42) AS FLOAT)*CAST(0.1 AS FLOAT) AS DOUBLE),2) AS at_2_5, round(sum(CAST(CAST(-10000 AS FLOAT)+CAST(v AS FLOAT)*CAST(0.1 AS FLOAT) AS DOUBLE)),1) AS total FROM p GROUP BY 1""")
+def packed_rgb(spark, sf_dir):
+    """Heights as packed bytes of a named format, one height taken from the bytes, and the sum of all."""
+    name = codec.format_name(F.lit("Terrain-RGB"))
+    t = _tiles(spark, sf_dir).select("vec_id", codec.checked_rgb(codec.pack_rgb(codec.encode_heights(name, F.col("heights"))), F.lit(8), F.lit(8)).alias("raw"))
+    back = codec.decode_heights(name, codec.unpack_rgb(F.col("raw")))
+    total = F.aggregate(back, F.lit(0.0), lambda s, h: s + h.cast("double"))
+    return t.select("vec_id", F.hex("raw").alias("content"), F.round(codec.height_at(name, F.col("raw"), F.lit(8), F.lit(2), F.lit(5)).cast("double"), 2).alias("at_2_5"), F.round(total, 1).alias("total"))
+
+
+@_query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE l_linenumber%5 WHEN 0 THEN 255 WHEN 1 THEN 0 WHEN 2 THEN 128 WHEN 3 THEN 255 ELSE v>>16 END AS r, CASE l_linenumber%5 WHEN 0 THEN 255 WHEN 1 THEN 0 WHEN 2 THEN 0 WHEN 3 THEN 255 ELSE (v>>8)&255 END AS g, CASE l_linenumber%5 WHEN 0 THEN 255 WHEN 1 THEN 0 WHEN 2 THEN 0 WHEN 3 THEN 255 ELSE v&255 END AS b
+FROM (SELECT *, CAST(l_partkey*100%16777216 AS INT) AS v FROM lineitem)""")
+def gsi_extremes(spark, sf_dir):
+    """Infinite, missing and very large heights, and plain ones."""
+    inf = F.lit(float("inf"))
+    n = F.col("l_linenumber") % 5
+    e = F.when(n == 0, inf).when(n == 1, -inf).when(n == 2, F.lit(float("nan"))).when(n == 3, F.lit(1e30)).otherwise(F.col("l_partkey").cast("double")).cast("float")
+    return _read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", codec.encode_gsi(e).alias("p")).select("l_orderkey", "l_linenumber", "l_partkey", "p.r", "p.g", "p.b")
+
+
+@_query("SELECT c_custkey AS k, CAST(CASE WHEN c_custkey%2=0 THEN 90 ELSE -90 END AS DOUBLE) AS lat, round(floor(c_acctbal),3) AS h FROM customer")
+def ecef_poles(spark, sf_dir):
+    """Points on the axis of the earth, there and back."""
+    k = F.col("c_custkey")
+    z = F.when(k % 2 == 0, 1.0).otherwise(-1.0) * (F.lit(geo.WGS84_A / math.sqrt(1 - geo.WGS84_E2) * (1 - geo.WGS84_E2)) + F.floor("c_acctbal"))
+    t = _read(spark, sf_dir, "customer", k.alias("k"), geo.ecef_to_geodetic(geo.xyz(F.lit(0.0), F.lit(0.0), z)).alias("g"))
+    return t.select("k", F.round("g.lat", 6).alias("lat"), (F.round("g.h", 3) + F.lit(0.0)).alias("h"))
+
+
+@_query(f"WITH {_SQL_BOUNDS} SELECT vec_id, CAST(i AS INT) AS post, round({geo.MEAN_RADIUS}/2*(radians(north-south)**2*(i//9/8.0)*(1-i//9/8.0)+(radians(east-west)*cos(radians((south+north)/2)))**2*(i%9/8.0)*(1-i%9/8.0)),4) AS bulge FROM b, range(81) r(i)")
+def curvature_bulge(spark, sf_dir):
+    at = F.transform(F.sequence(F.lit(0), F.lit(80)), lambda i: geo.curvature_bulge(i % 9, F.floor(i / 9), 8, F.col("bounds")))
+    return _padded(spark, sf_dir).select("vec_id", F.posexplode(at).alias("post", "v")).select("vec_id", "post", F.round("v", 4).alias("bulge"))
+
+
+@_query("SELECT l_orderkey, l_linenumber, l_partkey, round(-400+(l_partkey%32768)/32767.0*(8848.0+400),3) AS h FROM lineitem")
+def dequantised_heights(spark, sf_dir):
+    h = quantize.dequantised(F.col("l_partkey") % 32768, F.lit(-400.0), F.lit(8848.0))
+    return _read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", F.round(h, 3).alias("h"))
+
+
+def _sql_range(kind: str, x0: str, y0: str, x1: str, y1: str) -> str:
+    return f'SELECT k, \'{kind}\' AS scheme, CAST({x0} AS BIGINT) AS start_x, CAST({y0} AS BIGINT) AS start_y, CAST({x1} AS BIGINT) AS end_x, CAST({y1} AS BIGINT) AS end_y FROM q'
+
+
+def _sql_ranges() -> str:
+    x = lambda v, n: f"least(greatest(floor(({v}+180)/360*{n}),0),{n - 1})"
+    y = lambda v: f"least(greatest(floor({_FRACTION.format(lat=v)}*256),0),255)"
+    g = lambda v: f"least(greatest(floor(({v}+90)/180*256),0),255)"
+    parts = [_sql_range("geodetic", x("lon", 512), g("lat"), x("lon+5", 512), g("lat+3")), _sql_range("xyz", x("lon", 256), y("lat+3"), x("lon+5", 256), y("lat")), _sql_range("tms", x("lon", 256), f"255-{y('lat')}", x("lon+5", 256), f"255-{y('lat+3')}"), "SELECT k, 'full' AS scheme, 0, 0, 511, 255 FROM q"]
+    return f"WITH {_sql_points('nation', 'n_nationkey')}, q AS (SELECT k, lon, lat FROM pts) " + " UNION ALL ".join(parts)
+
+
+@_query(_sql_ranges())
+def ranges_of_bounds(spark, sf_dir):
+    """The tiles over a box in each scheme, and those of a whole level."""
+    b = geo.bounds(F.col("lon"), F.col("lat"), F.col("lon") + 5, F.col("lat") + 3)
+    ranges = F.array(*[F.struct(F.lit(k).alias("scheme"), (avail.full_level(F.lit(8)) if k == "full" else avail.range_of_bounds(b, F.lit(8), k)).alias("r")) for k in ("geodetic", "xyz", "tms", "full")])
+    t = _points(spark, sf_dir, "nation", "n_nationkey").select("k", F.explode(ranges).alias("e"))
+    return t.select("k", "e.scheme", *[F.col(f"e.r.{c}").alias(n) for c, n in (("startX", "start_x"), ("startY", "start_y"), ("endX", "end_x"), ("endY", "end_y"))])
+
+
+_CURVED = _SQL_TREE.replace("post AS (SELECT vec_id, gy*9+gx AS p, h FROM grid)", f"{_SQL_BOUNDS}, post AS (SELECT vec_id, gy*9+gx AS p, h+{geo.MEAN_RADIUS}/2*(radians(north-south)**2*(gy/8.0)*(1-gy/8.0)+(radians(east-west)*cos(radians((south+north)/2)))**2*(gx/8.0)*(1-gx/8.0)) AS h FROM grid JOIN b USING (vec_id))")
+
+
+@_query(f"""WITH RECURSIVE {_SQL_GRID}, {_CURVED}, c AS (SELECT vec_id, ay*9+ax AS p FROM kept UNION ALL SELECT vec_id, by_*9+bx FROM kept UNION ALL SELECT vec_id, cy*9+cx FROM kept)
+SELECT c.vec_id, count(*)//3 AS triangles, count(DISTINCT c.p) AS vertices, round(CAST(CAST(min(h) AS FLOAT) AS DOUBLE),1) AS lo, round(CAST(CAST(max(h) AS FLOAT) AS DOUBLE),1) AS hi FROM c JOIN grid g ON g.vec_id=c.vec_id AND g.gy*9+g.gx=c.p GROUP BY 1""")
 def flagship(spark, sf_dir):
     """Tiles from grids to bytes and back: triangles, vertices and height range of each."""
     tiles = encode.encode_terrain(_padded(spark, sf_dir), 8, ["vec_id"], encode.Options(max_error=200.0))
     d = tilebytes.decode_tiles(tiles, ["vec_id"], sections=["header", "u", "indices"])
-    return d.select("vec_id", (F.size("indices") / 3).cast("long").alias("triangles"), F.size("u").cast("long").alias("vertices"), F.round("header.min_height", 1).alias("lo"), F.round("header.max_height", 1).alias("hi"))
+    return d.select("vec_id", (F.size("indices") / 3).cast("long").alias("triangles"), F.size("u").cast("long").alias("vertices"), F.round(F.col("header.min_height").cast("double"), 1).alias("lo"), F.round(F.col("header.max_height").cast("double"), 1).alias("hi"))
 
 
 def queries() -> dict:

@@ -6,6 +6,11 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from ..functions import rgb
 
 # Fixed value: the signature of a PNG file.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -48,31 +53,35 @@ def read_png(data: bytes) -> tuple[bytes, int, int]:
     if head is None or head[2] != 8 or head[3] not in (2, 6) or head[6]:
         raise ContainerError("only 8-bit RGB and RGBA without interlacing are read")
     width, height, channels = head[0], head[1], 3 if head[3] == 2 else 4
-    raw = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(height, 1 + width * channels)
+    try:
+        raw = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(height, 1 + width * channels)
+    except (zlib.error, ValueError) as e:
+        raise ContainerError(f"not a PNG: {e}") from e
     out = np.zeros((height, width * channels), np.uint8)
+    zero = np.zeros((width, channels), np.int64)
     for y in range(height):
-        kind, line = int(raw[y, 0]), raw[y, 1:].astype(np.int64)
-        up = out[y - 1].astype(np.int64) if y else np.zeros(width * channels, np.int64)
+        kind, line = int(raw[y, 0]), raw[y, 1:].reshape(width, channels).astype(np.int64)
+        up = out[y - 1].reshape(width, channels).astype(np.int64) if y else zero
         if kind == 0:
-            out[y] = line
-        elif kind == 2:
-            out[y] = (line + up) & 255
+            row = line
         elif kind == 1:
-            out[y] = (np.cumsum(line.reshape(width, channels), axis=0) & 255).ravel()
+            row = np.cumsum(line, axis=0)
+        elif kind == 2:
+            row = line + up
         elif kind in (3, 4):
-            row = np.zeros(width * channels, np.int64)
-            for i in range(len(row)):
-                a = row[i - channels] if i >= channels else 0
-                b, c = up[i], up[i - channels] if i >= channels else 0
+            row, a, c = np.empty_like(line), zero[0], zero[0]
+            for i in range(width):  # a pixel needs the one before it; its channels go at once
+                b = up[i]
                 if kind == 3:
-                    guess = (a + b) // 2
+                    guess = (a + b) >> 1
                 else:
-                    pa_, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
-                    guess = a if pa_ <= pb and pa_ <= pc else b if pb <= pc else c
-                row[i] = (line[i] + guess) & 255
-            out[y] = row
+                    to_a, to_b, to_c = np.abs(b - c), np.abs(a - c), np.abs(a + b - 2 * c)
+                    guess = np.where((to_a <= to_b) & (to_a <= to_c), a, np.where(to_b <= to_c, b, c))
+                a = row[i] = (line[i] + guess) & 255
+                c = b
         else:
             raise ContainerError("unknown filter")
+        out[y] = (row & 255).ravel()
     return out.reshape(height, width, channels)[:, :, :3].tobytes(), width, height
 
 
@@ -84,3 +93,37 @@ def write_container(name: str, pixels: bytes, width: int, height: int, channels:
     if kind in ("webp", "avif"):
         raise Unsupported(kind)
     raise ContainerError(f"unknown container: {name}")
+
+
+def image_heights(images: DataFrame, keys: list[str], fmt: str, tile_size: int) -> DataFrame:
+    """keys and ``heights`` (single precision, north up) of PNG ``content``; another size than ``tile_size`` squared is an error."""
+
+    def run(batches):
+        for batch in batches:
+            made = []
+            for content in batch["content"].to_pylist():
+                pixels, width, height = read_png(content)
+                if (width, height) != (tile_size, tile_size):
+                    raise ContainerError(f"an image of {width} by {height} pixels, not {tile_size} by {tile_size}")
+                made.append(rgb.decode(fmt, np.frombuffer(pixels, np.uint8)))
+            at = pa.array(np.arange(len(made) + 1) * tile_size * tile_size, pa.int32())
+            flat = np.concatenate(made) if made else np.empty(0, np.float32)
+            yield pa.RecordBatch.from_arrays([*[batch[k] for k in keys], pa.ListArray.from_arrays(at, pa.array(flat, pa.float32()))], [*keys, "heights"])
+
+    schema = T.StructType([*[images.schema[k] for k in keys], T.StructField("heights", T.ArrayType(T.FloatType()))])
+    return images.select(*keys, "content").mapInArrow(run, schema)
+
+
+def height_images(tiles: DataFrame, keys: list[str], fmt: str, tile_size: int) -> DataFrame:
+    """keys and PNG ``content`` of ``heights``."""
+
+    def run(batches):
+        for batch in batches:
+            made = []
+            for heights in batch["heights"].to_pylist():
+                if len(heights) != tile_size * tile_size:
+                    raise ContainerError(f"{len(heights)} heights, not {tile_size * tile_size}")
+                made.append(write_png(rgb.encode(fmt, np.array(heights, float)).tobytes(), tile_size, tile_size))
+            yield pa.RecordBatch.from_arrays([*[batch[k] for k in keys], pa.array(made, pa.binary())], [*keys, "content"])
+
+    return tiles.select(*keys, "heights").mapInArrow(run, T.StructType([*[tiles.schema[k] for k in keys], T.StructField("content", T.BinaryType())]))

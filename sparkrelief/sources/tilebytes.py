@@ -51,6 +51,8 @@ def encode_tile(head: dict, u, v, height, indices, edges: dict, normals: bytes |
     n = len(u)
     wide = n > 65535
     kind, unit = ("<u4", 4) if wide else ("<u2", 2)
+    if normals is not None and len(normals) != 2 * n:
+        raise TileError("normals have two bytes for each vertex")
     vec = lambda p: (p["x"], p["y"], p["z"])
     parts = [HEADER.pack(*vec(head["center"]), head["min_height"], head["max_height"], *vec(head["sphere_center"]), head["sphere_radius"], *vec(head["horizon_point"])), struct.pack("<I", n)]
     parts += [_delta(x).tobytes() for x in (u, v, height)]
@@ -100,33 +102,47 @@ def _extensions(data: bytes, at: int, n: int) -> dict:
     return out
 
 
-def decode_tile(data: bytes) -> dict:
-    """All sections of a tile, compressed or not."""
+def decode_tile(data: bytes, sections: set[str] | None = None) -> dict:
+    """The asked sections of a tile (all by default), compressed or not; the streams of others are stepped over. Numbers are arrays."""
+    wanted = lambda *names: sections is None or not sections.isdisjoint(names)
     try:
         if is_gzip(data):
             data = zlib.decompress(data, 31)
         h = HEADER.unpack_from(data)
         (n,) = struct.unpack_from("<I", data, HEADER.size)
-        at = HEADER.size + 4
-        streams = []
-        for _ in range(3):
-            streams.append(_undelta(np.frombuffer(data, "<u2", n, at)))
-            at += 2 * n
+        at, out = HEADER.size + 4, {}
         kind, unit = ("<u4", 4) if n > 65535 else ("<u2", 2)
+        if len(data) < at + 6 * n:
+            raise TileError("vertices are cut short")
+        for name in ("u", "v", "height"):
+            if wanted(name):
+                out[name] = _undelta(np.frombuffer(data, "<u2", n, at))
+            at += 2 * n
         at += -at % unit
         (t,) = struct.unpack_from("<I", data, at)
-        codes = np.frombuffer(data, kind, 3 * t, at + 4).astype(np.int64)
+        if len(data) < at + 4 + 3 * t * unit:
+            raise TileError("indices are cut short")
+        if wanted("indices"):
+            out["indices"] = _from_high_water(np.frombuffer(data, kind, 3 * t, at + 4).astype(np.int64))
         at += 4 + 3 * t * unit
         edges = {}
         for e in EDGES:
             (k,) = struct.unpack_from("<I", data, at)
-            edges[e] = np.frombuffer(data, kind, k, at + 4).astype(np.int64).tolist()
+            if len(data) < at + 4 + k * unit:
+                raise TileError("edges are cut short")
+            if wanted("edges"):
+                edges[e] = np.frombuffer(data, kind, k, at + 4).astype(np.int64)
             at += 4 + k * unit
     except (struct.error, ValueError, zlib.error) as e:
         raise TileError(f"not a tile: {e}") from e
-    vec = lambda i: dict(zip("xyz", h[i : i + 3], strict=True))
-    head = {"center": vec(0), "min_height": h[3], "max_height": h[4], "sphere_center": vec(5), "sphere_radius": h[8], "horizon_point": vec(9)}
-    return {"header": head, "u": streams[0].tolist(), "v": streams[1].tolist(), "height": streams[2].tolist(), "indices": _from_high_water(codes).tolist(), "edges": edges, **_extensions(data, at, n)}
+    if wanted("edges"):
+        out["edges"] = edges
+    if wanted("header"):
+        vec = lambda i: dict(zip("xyz", h[i : i + 3], strict=True))
+        out["header"] = {"center": vec(0), "min_height": h[3], "max_height": h[4], "sphere_center": vec(5), "sphere_radius": h[8], "horizon_point": vec(9)}
+    if wanted("normals", "mask", "metadata"):
+        out |= {k: v for k, v in _extensions(data, at, n).items() if wanted(k)}
+    return out
 
 
 _VEC = T.StructType([T.StructField(c, T.DoubleType()) for c in "xyz"])
@@ -138,37 +154,70 @@ MESH_SCHEMA = T.StructType([
 ])
 
 
+def lists(column) -> list[np.ndarray]:
+    """The values of a list column, not copied."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    values, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [values[at[i] : at[i + 1]] for i in range(len(column))]
+
+
+def _arrow(field: T.StructField, rows: list[dict]) -> pa.Array:
+    """A column of what tiles were decoded to."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind, values = to_arrow_type(field.dataType), [r.get(field.name) for r in rows]
+    if field.name == "edges":
+        return pa.StructArray.from_arrays([_arrow(T.StructField(e, _LONGS), [v or {} for v in values]) for e in EDGES], EDGES, mask=pa.array([v is None for v in values]))
+    if isinstance(field.dataType, T.ArrayType):
+        there = [v is not None for v in values]
+        sizes = np.array([len(v) if v is not None else 0 for v in values], np.int64)
+        flat = np.concatenate([v for v in values if v is not None] or [np.empty(0, np.int64)])
+        at = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32(), mask=np.array([*(not x for x in there), False]))
+        return pa.ListArray.from_arrays(at, pa.array(flat, kind.value_type))
+    return pa.array(values, kind)
+
+
 def encode_tiles(tiles: DataFrame, keys: list[str], level: int = 0) -> DataFrame:
     """keys and ``content`` from columns header, q (u, v, height), indices, edges and, if there, normals, mask, metadata."""
     more = [c for c in ("normals", "mask", "metadata") if c in tiles.columns]
 
     def run(batches):
         for batch in batches:
-            rows = batch.to_pylist()
-            made = [encode_tile(r["header"], r["q"]["u"], r["q"]["v"], r["q"]["height"], r["indices"], r["edges"], level=level, **{c: r[c] for c in more}) for r in rows]
+            heads = batch["header"].to_pylist()
+            u, v, h = (lists(batch["q"].field(c)) for c in ("u", "v", "height"))
+            indices, sides = lists(batch["indices"]), {e: lists(batch["edges"].field(e)) for e in EDGES}
+            rest = {c: batch[c].to_pylist() for c in more}
+            made = [encode_tile(heads[i], u[i], v[i], h[i], indices[i], {e: sides[e][i] for e in EDGES}, level=level, **{c: rest[c][i] for c in more}) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([*[batch[k] for k in keys], pa.array(made, pa.binary())], [*keys, "content"])
 
     schema = T.StructType([*[tiles.schema[k] for k in keys], T.StructField("content", T.BinaryType())])
     return tiles.select(*keys, "header", "q", "indices", "edges", *more).mapInArrow(run, schema)
 
 
+def mesh_schema(sections: list[str] | None = None) -> T.StructType:
+    """The fields of decoded tiles: the asked sections, and ``corrupt``."""
+    return T.StructType([f for f in MESH_SCHEMA if sections is None or f.name in sections or f.name == "corrupt"])
+
+
+def decoded(contents: list[bytes], sections: list[str] | None = None, strict: bool = True) -> list[pa.Array]:
+    """Arrow columns of ``mesh_schema(sections)`` for some tiles."""
+    rows, asked = [], None if sections is None else set(sections)
+    for data in contents:
+        try:
+            rows.append(decode_tile(data, asked))
+        except TileError as e:
+            if strict:
+                raise
+            rows.append({"corrupt": str(e)})
+    return [_arrow(f, rows) for f in mesh_schema(sections)]
+
+
 def decode_tiles(tiles: DataFrame, keys: list[str], strict: bool = True, sections: list[str] | None = None) -> DataFrame:
-    """keys and the asked ``sections`` of each ``content``; if not ``strict``, bad bytes give nulls and a message in ``corrupt``."""
-    wanted = T.StructType([f for f in MESH_SCHEMA if sections is None or f.name in sections or f.name == "corrupt"])
-    schema = T.StructType([*[tiles.schema[k] for k in keys], *wanted])
+    """keys and the asked ``sections`` of each ``content``; only these are decoded. If not ``strict``, bad bytes give nulls and a message in ``corrupt``."""
+    wanted = mesh_schema(sections)
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for data in batch["content"].to_pylist():
-                try:
-                    rows.append(decode_tile(data) | {"corrupt": None})
-                except TileError as e:
-                    if strict:
-                        raise
-                    rows.append({"corrupt": str(e)})
-            from pyspark.sql.pandas.types import to_arrow_type
-
-            yield pa.RecordBatch.from_arrays([*[batch[k] for k in keys], *[pa.array([r.get(f.name) for r in rows], to_arrow_type(f.dataType)) for f in wanted]], [*keys, *wanted.names])
-
-    return tiles.select(*keys, "content").mapInArrow(run, schema)
+            yield pa.RecordBatch.from_arrays([*[batch[k] for k in keys], *decoded(batch["content"].to_pylist(), sections, strict)], [*keys, *wanted.names])
+
+    return tiles.select(*keys, "content").mapInArrow(run, T.StructType([*[tiles.schema[k] for k in keys], *wanted]))

@@ -2,15 +2,17 @@
 
 import math
 import random
+import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sparkrelief import queries
-from sparkrelief.functions import codec, geo
-from sparkrelief.operators import avail, resample, rtin
+from sparkrelief.functions import codec, geo, rgb
+from sparkrelief.operators import avail, kernels, normals, resample, rtin
 from sparkrelief.plans import encode
-from sparkrelief.sources import files, png, tilebytes
+from sparkrelief.sources import datasource, files, png, tilebytes
 from sparkrelief.streaming import arrivals
 
 SF = "/root/testdata/sf0.001"
@@ -35,10 +37,6 @@ def test_query_equals_sql(spark, duck, name):
     assert got == sorted(str(tuple(x[i] for i in at)) for x in r.fetchall())
 
 
-def test_flagship(spark):
-    assert queries.flagship(spark, SF).count() == 500
-
-
 @pytest.mark.parametrize("cells", [2, 4, 16])
 def test_tree_equals_recursion(cells):
     """The filter form against plain recursion on random heights."""
@@ -73,10 +71,36 @@ def test_tile_roundtrip_and_errors():
     args = (head, [0, 32767, 0, 32767], [0, 0, 32767, 32767], [0, 0, 0, 7], [0, 1, 2, 1, 3, 2], edges)
     for level in (0, 6):
         d = tilebytes.decode_tile(tilebytes.encode_tile(*args, normals=b"\1" * 8, mask=b"\xff", metadata='{"a":1}', level=level))
-        assert (d["u"], d["indices"], d["edges"], d["header"]) == (args[1], args[4], edges, head)
+        assert (d["u"].tolist(), d["indices"].tolist(), {e: x.tolist() for e, x in d["edges"].items()}, d["header"]) == (args[1], args[4], edges, head)
         assert (d["normals"], d["mask"], d["metadata"]) == (b"\1" * 8, b"\xff", '{"a":1}')
+    whole = tilebytes.encode_tile(*args)
+    for bad in (b"short", whole[:100], whole[:-1], b"\x1f\x8bno"):
+        with pytest.raises(tilebytes.TileError):
+            tilebytes.decode_tile(bad)
+    with pytest.raises(tilebytes.TileError, match="two bytes"):
+        tilebytes.encode_tile(*args, normals=b"\1" * 7)
+    # only what is asked for
+    assert set(tilebytes.decode_tile(whole, {"v"})) == {"v"} and set(tilebytes.decode_tile(whole, {"metadata"})) == {"metadata"}
+
+
+def test_extensions_that_are_cut_unknown_or_repeated():
+    ext = lambda number, payload: struct.pack("<BI", number, len(payload)) + payload
+    read = lambda data: tilebytes._extensions(data, 0, 2)
+    none = {"normals": None, "mask": None, "metadata": None}
+    assert read(b"") == read(b"\1\1") == read(ext(1, b"abcd")[:-1]) == read(ext(9, b"zz")) == none
+    assert read(ext(9, b"zz") + ext(1, b"abcdEXTRA"))["normals"] == b"abcd"
+    assert read(ext(1, b"abcd") + ext(1, b"wxyz"))["normals"] == b"wxyz"
+    assert read(ext(2, b"abc"))["mask"] == b"\0"
     with pytest.raises(tilebytes.TileError):
-        tilebytes.decode_tile(b"short")
+        read(ext(4, struct.pack("<I", 9) + b"{}"))
+
+
+def test_more_vertices_than_16_bits():
+    n = 70_000
+    u = np.arange(n) % 32768
+    args = ({"center": dict(x=1.0, y=2.0, z=3.0), "min_height": 0.0, "max_height": 5.0, "sphere_center": dict(x=1.0, y=2.0, z=3.0), "sphere_radius": 9.0, "horizon_point": dict(x=0.0, y=0.0, z=1.0)}, u, u, u, np.arange(69_999), {e: [n - 1] for e in tilebytes.EDGES})
+    d = tilebytes.decode_tile(tilebytes.encode_tile(*args, level=1))
+    assert (d["u"] == u).all() and (d["indices"] == args[4]).all() and d["edges"]["north"].tolist() == [n - 1]
 
 
 def test_png():
@@ -184,18 +208,158 @@ def test_mercator_sample_uses_all_tiles(spark, tmp_path):
 
 
 def test_rasters_become_tiles(spark, tmp_path):
-    """Tile bytes from pixels equal those from grids and halos sampled by brute force."""
-    pixels = _written_tiles(spark, tmp_path, [v for v in range(600) if v != 45])
+    """Tile bytes from images equal those from grids and halos sampled by brute force, at two zooms, with a raster tile missing."""
+    pixels = {7: _written_tiles(spark, tmp_path, [v for v in range(600) if v != 45])}
+    pixels[6] = {p: h / 2 + 100 for p, h in pixels[7].items()}
     spark.createDataFrame([(k,) for k in range(3)], "n_nationkey int").write.parquet(f"{tmp_path}/nation.parquet")
     boxes, options = queries._boxes(spark, str(tmp_path)), encode.Options(max_error=50.0, normals="gradient")
     rows = []
     for r in boxes.collect():
-        at = lambda n, b: [_height_at(pixels, *_pixel_position(b.west + i * 0.25, b.north - j * 0.25)) for j in range(-n, 9 + n) for i in range(-n, 9 + n)]
-        rows.append((r.k, tuple(r.bounds), at(0, r.bounds), at(1, r.bounds)))
-    grids = spark.createDataFrame(rows, "k long, bounds struct<west:double,south:double,east:double,north:double>, heights array<double>, halo array<double>")
-    table = {r.k: tilebytes.decode_tile(r.content) for r in encode.encode_rasters(boxes, queries._pixels(spark, str(tmp_path)), F.lit(7), 8, 8, ["k"], options).collect()}
-    want = {r.k: tilebytes.decode_tile(r.content) for r in encode.encode_terrain(grids, 8, ["k"], options).collect()}
-    assert {k: (d["u"], d["v"], d["height"], d["indices"], d["normals"]) for k, d in table.items()} == {k: (d["u"], d["v"], d["height"], d["indices"], d["normals"]) for k, d in want.items()} and len(want) == 3
+        world = 8 << r.z
+
+        def at(n, b):
+            edge = lambda lon, lat: [math.floor(v + 0.5) // 8 for v in _pixel_position(lon, lat, world)]  # noqa: E731, B023
+            (x0, y0), (x1, y1) = edge(b.west - n * 0.25, b.north + n * 0.25), edge(b.east + n * 0.25, b.south - n * 0.25)
+            block = {(x, y): pixels[r.z].get((x, y), math.nan) for x in range(x0 * 8, x1 * 8 + 8) for y in range(y0 * 8, y1 * 8 + 8)}  # noqa: B023
+            return [_height_at(block, *_pixel_position(b.west + i * 0.25, b.north - j * 0.25, world)) for j in range(-n, 9 + n) for i in range(-n, 9 + n)]  # noqa: B023
+
+        halo = at(1, r.bounds)
+        rows.append((r.k, r.z, tuple(r.bounds), [halo[j * 11 + i] for j in range(1, 10) for i in range(1, 10)], halo))
+    grids = spark.createDataFrame(rows, "k long, z int, bounds struct<west:double,south:double,east:double,north:double>, heights array<double>, halo array<double>")
+    made = encode.encode_rasters(boxes, queries._rasters(spark, str(tmp_path)), 8, 8, ["k", "z"], options)
+    parts = lambda df: {(r.k, r.z): {k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in tilebytes.decode_tile(r.content, {"u", "v", "height", "indices", "normals"}).items()} for r in df.collect()}
+    assert parts(made) == parts(encode.encode_terrain(grids, 8, ["k", "z"], options)) and made.count() == 6
+    images = png.height_images(queries._rasters(spark, str(tmp_path)), ["z", "x", "y"], "terrarium", 8)
+    report = encode.verified(encode.reproject(boxes, images, 8, 8, ["k", "z"], options), ["k", "z"]).collect()
+    assert len(report) == 6 and all(r.corrupt is None and r.vertices >= 4 and r.normal_bytes == 2 * r.vertices for r in report)
+    with pytest.raises(Exception, match="samples, not 256"):
+        encode.encode_rasters(boxes, queries._rasters(spark, str(tmp_path)), 16, 8, ["k", "z"], options).collect()
+
+
+def test_grid_of_a_flat_raster_is_flat(spark):
+    rasters = spark.createDataFrame([(5, x, y, [42.0] * 16) for x in range(32) for y in range(32)], "z int, x int, y int, heights array<double>")
+    boxes = spark.createDataFrame([(1, 5, (10.0, 20.0, 20.0, 30.0)), (2, 5, (-180.0, -90.0, 180.0, 90.0))], "k int, z int, bounds struct<west:double,south:double,east:double,north:double>")
+    for r in resample.geodetic_grids(boxes, rasters, 4, 17, ["k"], 2).collect():
+        assert set(r.heights) == set(r.halo) == {42.0} and (len(r.heights), len(r.halo)) == (289, 441)
+        inner = [r.halo[j * 21 + i] for j in range(2, 19) for i in range(2, 19)]
+        assert inner == r.heights
+
+
+def test_padding_keeps_zooms_apart(spark):
+    rows = [(z, x, y, [float(z * 1000 + x * 100 + y * 10 + i) for i in range(4)]) for z in (3, 4) for x in range(2) for y in range(2)]
+    got = {(r.z, r.x, r.y): r.heights for r in resample.padded(spark.createDataFrame(rows, "z int, x long, y long, heights array<double>"), 2, ["z"]).collect()}
+    assert len(got) == 8 and got[4, 0, 0] == [4000, 4001, 4100, 4002, 4003, 4102, 4010, 4011, 4110] and got[3, 1, 1] == [3110, 3111, 3111, 3112, 3113, 3113, 3112, 3113, 3113]
+
+
+@pytest.mark.parametrize("cells, normals", [(4, "face"), (8, "gradient"), (16, "none")])
+def test_kernels_equal_columns(spark, cells, normals):
+    """Tile bytes by numpy kernels and by column forms, with heights that are missing."""
+    rng, side = random.Random(cells), cells + 1
+    grid = lambda n: [math.nan if rng.random() < 0.02 else rng.uniform(-50, 900) for _ in range(n)]
+    rows = [(k, (10.0 + k, 20.0, 11.0 + k, 21.0), grid(side * side), grid((side + 2) ** 2)) for k in range(3)] + [(9, (0.0, 89.0, 1.0, 90.0), [5.0] * (side * side), [5.0] * (side + 2) ** 2)]
+    tiles = spark.createDataFrame(rows, "k long, bounds struct<west:double,south:double,east:double,north:double>, heights array<double>, halo array<double>")
+    options = encode.Options(max_error=60.0, normals=normals)
+    a, b = ({r.k: tilebytes.decode_tile(r.content) for r in made.collect()} for made in (encode.encode_terrain(tiles, cells, ["k"], options), encode.encode_columns(tiles, cells, ["k"], options)))
+    assert a.keys() == b.keys()
+    for k in a:
+        for name in ("u", "v", "height", "indices"):
+            assert a[k][name].tolist() == b[k][name].tolist(), name
+        assert {e: x.tolist() for e, x in a[k]["edges"].items()} == {e: x.tolist() for e, x in b[k]["edges"].items()}
+        flat = lambda h: [x for v in h.values() for x in (v.values() if isinstance(v, dict) else [v])]
+        assert flat(a[k]["header"]) == pytest.approx(flat(b[k]["header"]), rel=1e-9, nan_ok=True)
+        if normals != "none":
+            # bytes may differ by one where a float is at the edge of a step
+            assert np.abs(np.frombuffer(a[k]["normals"], np.uint8).astype(int) - np.frombuffer(b[k]["normals"], np.uint8)).max() <= 1
+
+
+@pytest.mark.parametrize("cells", [64, 256])
+def test_large_grids(cells):
+    """Against plain recursion on rough heights; the triangles cover the grid; a plane needs two."""
+    rng = np.random.default_rng(cells)
+    side, tri = cells + 1, kernels.triangles(cells)
+    h = np.cumsum(np.cumsum(rng.normal(size=(side, side)), 0), 1).ravel()
+    err = tri.errors(h[None])[0]
+    assert len(tri.mesh(tri.errors(np.add.outer(np.arange(side) * 3.0, np.arange(side) * 2.0).reshape(1, -1))[0], 0.01)[1]) == 6
+    limit = float(np.quantile(err, 0.9))
+    posts, idx = tri.mesh(err, limit)
+    t = posts[idx].reshape(-1, 3)
+    x, y = t % side, t // side
+    area = np.abs((x[:, 1] - x[:, 0]) * (y[:, 2] - y[:, 0]) - (x[:, 2] - x[:, 0]) * (y[:, 1] - y[:, 0]))
+    assert area.sum() == 2 * cells * cells and area.min() > 0
+    own = {}
+
+    def error(a, b, c):
+        """The error of a triangle's midpoint with all below it; both triangles of a midpoint count."""
+        if abs(a[0] - c[0]) + abs(a[1] - c[1]) <= 1:
+            return 0.0
+        m = ((a[0] + b[0]) // 2, (a[1] + b[1]) // 2)
+        at = lambda p: p[1] * side + p[0]
+        own[at(m)] = max(error(c, a, m), error(b, c, m), own.get(at(m), 0.0), abs((h[at(a)] + h[at(b)]) / 2 - h[at(m)]))
+        return own[at(m)]
+
+    if cells == 64:
+        for _ in range(2 * 6):  # a midpoint on the seam of both halves needs the other half's first
+            error((0, 0), (cells, cells), (cells, 0))
+            error((cells, cells), (0, 0), (0, cells))
+        assert all(err[p] == pytest.approx(e) for p, e in own.items())
+
+
+def test_wrong_sizes_are_errors(spark):
+    tiles = _grids(spark).withColumn("halo", F.array_repeat(F.lit(1.0), 48))
+    with pytest.raises(Exception, match="halo needs 49"):
+        encode.encode_terrain(tiles, 4, ["k"], encode.Options(normals="gradient")).collect()
+    with pytest.raises(Exception, match="halo needs 49"):
+        tiles.select(normals.gradient_normal(F.lit(0.5), F.lit(0.5), F.col("bounds"), F.col("halo"), 4, 1)).collect()
+    with pytest.raises(Exception, match="grid needs 81"):
+        encode.encode_terrain(tiles, 8, ["k"]).collect()
+    packed = spark.createDataFrame([(bytearray(11),)], "c binary")
+    with pytest.raises(Exception, match="rgb length mismatch"):
+        packed.select(codec.checked_rgb(F.col("c"), F.lit(2), F.lit(2))).collect()
+    with pytest.raises(Exception, match="unknown height format"):
+        packed.select(codec.format_name(F.lit("jpeg"))).collect()
+    with pytest.raises(ValueError, match="unknown height format"):
+        rgb.encode("jpeg", np.zeros(1))
+
+
+@pytest.mark.parametrize("name", ["terrarium", "Mapbox-RGB", "gsi"])
+def test_packed_heights_equal_columns(spark, name):
+    values = [0.0, -0.004, 123.456, -9999.95, 8848.86, 32767.9, 1e9, -1e9, 1e30, -1e30, math.inf, -math.inf, math.nan]
+    t = spark.createDataFrame([(values,)], "h array<double>").select(codec.encode_heights(codec.format_name(F.lit(name)), F.col("h")).alias("p"), codec.pack_rgb(codec.encode_heights(codec.format_name(F.lit(name)), F.col("h"))).alias("c"))
+    row = t.select("c", codec.decode_heights(codec.format_name(F.lit(name)), codec.unpack_rgb(F.col("c"))).alias("back")).first()
+    assert rgb.encode(name, np.array(values)).tobytes() == bytes(row.c)
+    assert rgb.decode(name, np.frombuffer(bytes(row.c), np.uint8)).tolist() == pytest.approx(row.back, nan_ok=True)
+
+
+def test_octahedral_bytes_come_back():
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(2000, 3))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    assert (kernels.oct_vectors(kernels.oct_bytes(v)) * v).sum(1).min() > 0.999 and len(kernels.oct_vectors(b"\1\2\3")) == 1
+
+
+def test_poles(spark):
+    p = spark.createDataFrame([(0.0, 0.0, 6356752.314245179 + 100), (0.0, 0.0, -6356752.314245179), (0.0, 0.0, 0.0)], "x double, y double, z double").select(geo.ecef_to_geodetic(F.struct("x", "y", "z")).alias("g")).select("g.*").collect()
+    assert p[0].lat == pytest.approx(90) and p[0].h == pytest.approx(100, abs=1e-3) and p[1].lat == pytest.approx(-90) and p[1].h == pytest.approx(0, abs=1e-3)
+
+
+def test_data_source(spark, tmp_path):
+    """Trees written and read by the data source; sections, bytes, bad files."""
+    tiles, root = encode.encode_terrain(_grids(spark), 4, ["z", "x", "y"], encode.Options(max_error=5.0, normals="face")), str(tmp_path / "tree")
+    spark.dataSource.register(datasource.TerrainSource)
+    tiles.write.format("terrain").mode("append").save(root)
+    read = lambda **o: spark.read.format("terrain").options(**o).load(root)
+    assert sorted((r.z, r.x, r.y, bytes(r.content)) for r in read(sections="content").collect()) == sorted((r.z, r.x, r.y, bytes(r.content)) for r in tiles.collect())
+    some = read(sections="u, header", tilesPerPartition="1")
+    assert some.columns == ["z", "x", "y", "header", "u", "corrupt"] and some.rdd.getNumPartitions() == 2
+    whole = {(r.x,): (r.u, r.indices, r.edges.west, len(r.normals)) for r in read().collect()}
+    want = {(r.x,): tilebytes.decode_tile(r.content) for r in tiles.collect()}
+    assert whole == {k: (d["u"].tolist(), d["indices"].tolist(), d["edges"]["west"].tolist(), len(d["normals"])) for k, d in want.items()}
+    (tmp_path / "tree/3/0/9.terrain").write_bytes(b"no tile")
+    assert [r.y for r in read(mode="PERMISSIVE", sections="u").where("corrupt is not null").collect()] == [9]
+    with pytest.raises(Exception, match="not a tile"):
+        read().collect()
+    with pytest.raises(Exception, match="unknown sections"):
+        read(sections="w").columns
 
 
 @pytest.mark.parametrize("buffer", [1, 2])
