@@ -3,9 +3,14 @@
 A rule has a host and a path prefix; the longest that fits a URL decides. Other
 URLs are judged by their host: personalised PageRank spreads trust from hosts
 with allowed pages along links, and distrust from hosts with blocked pages
-against them (who links to a bad host is suspect). Hosts link by absolute
-addresses in their pages, and a subdomain with its parent. A host whose distrust
-exceeds its trust, and the threshold, is blocked.
+against them (who links to a bad host is suspect). Hosts link by the addresses in
+their pages, absolute or without a scheme (a relative one stays on its host), and
+every subdomain with its parent, down to names of two labels; parents and link
+targets are nodes whether they have pages or not. A host whose distrust exceeds
+its trust, and the threshold, is blocked.
+
+The links of a host with very many are dealt into parts, and its score goes to
+each part, so that no task gets all links of a hub.
 """
 
 from __future__ import annotations
@@ -27,7 +32,9 @@ TOLERANCE = 1e-6
 #: A host is blocked if its distrust is over its trust and over this.
 THRESHOLD = 0.05
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_LINK = r"""(?i)\b(?:href|src)\s{0,8}=\s{0,8}["']?[a-z][a-z0-9+.-]{0,19}://([^/?#"'\s<>]++)"""
+#: Links of one host that go to one part.
+PART = 4096
+_LINK = r"""(?i)\b(?:href|src)\s{0,8}=\s{0,8}["']?(?:[a-z][a-z0-9+.-]{0,19}:)?//([^/?#"'\s<>]++)"""
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -51,12 +58,16 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 
 def _edges(hosted: DataFrame) -> DataFrame:
     """(source, target, weight): links between different hosts, and subdomains with their parents, both ways."""
-    linked = hosted.where((F.col("host") != "") & F.col("html").contains("://")).select("host", F.explode(F.regexp_extract_all("html", F.lit(_LINK), F.lit(1))).alias("target"))
+    linked = hosted.where((F.col("host") != "") & F.col("html").contains("//")).select("host", F.explode(F.regexp_extract_all("html", F.lit(_LINK), F.lit(1))).alias("target"))
     links = linked.select(F.col("host").alias("source"), F.translate("target", _UPPER, _LOWER).alias("target")).groupBy("source", "target").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    hosts = hosted.select("host").where("host <> ''").distinct()
-    parent = hosts.select("host", F.regexp_extract("host", r"^[^.]*+\.(.*)$", 1).alias("parent")).join(hosts.select(F.col("host").alias("parent")), "parent")
-    kin = parent.select(F.col("host").alias("source"), F.col("parent").alias("target"), F.lit(1.0).alias("weight")).union(parent.select("parent", "host", F.lit(1.0)))
-    return links.union(kin).where("source <> target").groupBy("source", "target").agg(F.sum("weight").alias("weight"))
+    links = staged(links.where("source <> target"), "links")
+    hosts = hosted.select("host").where("host <> ''").union(links.select("target")).distinct()
+    named = hosts.where(~F.col("host").rlike(r"^[0-9.]+(:[0-9]+)?$|^\[")).select(F.split("host", r"\.").alias("labels")).where("size(labels) > 2")
+    from_label = lambda i: F.array_join(F.slice("labels", i, F.size("labels")), ".")
+    steps = F.transform(F.sequence(F.lit(1), F.size("labels") - 2), lambda i: F.struct(from_label(i).alias("host"), from_label(i + 1).alias("parent")))
+    kin = named.select(F.explode(steps).alias("s")).select("s.host", "s.parent").distinct()
+    both = kin.select(F.col("host").alias("source"), F.col("parent").alias("target"), F.lit(1.0).alias("weight")).union(kin.select("parent", "host", F.lit(1.0)))
+    return links.union(both).groupBy("source", "target").agg(F.sum("weight").alias("weight"))
 
 
 def host_scores(judged: DataFrame, edges: DataFrame) -> DataFrame:
@@ -68,9 +79,14 @@ def host_scores(judged: DataFrame, edges: DataFrame) -> DataFrame:
     share = judged.where("host <> ''").groupBy("host").agg(*[(F.sum(F.when(F.col("rule_verdict") == v, 1).otherwise(0)) / F.count(F.lit(1))).alias(k) for v, k in (("allow", "t"), ("block", "d"))])
     seeds = share.select("host", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("t").alias("seed")), F.struct(F.lit(1).alias("kind"), F.col("d").alias("seed")))).alias("x")).select("host", "x.kind", "x.seed").where("seed > 0")
     both = edges.select("source", "target", "weight", F.lit(0).alias("kind")).union(edges.select("target", "source", "weight", F.lit(1)))
-    total = both.groupBy("source", "kind").agg(F.sum("weight").alias("total"))
+    both = staged(both, "edges")
+    total = both.groupBy("source", "kind").agg(F.sum("weight").alias("total"), F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    total = staged(total, "totals")
     seeds = staged(seeds, "seeds")
-    steps = staged(both.join(total, ["source", "kind"]).select(F.col("source").alias("host"), "kind", "target", (F.col("weight") / F.col("total")).alias("share")), "steps")
+    part = F.pmod(F.xxhash64("target"), F.col("parts")).cast("int")
+    steps = staged(both.join(total, ["source", "kind"]).select(F.col("source").alias("host"), "kind", part.alias("part"), "target", (F.col("weight") / F.col("total")).alias("share")), "steps")
+    wide = total.where("parts > 1").select(F.col("source").alias("host"), "kind", "parts")
+    dealt = lambda scores: scores.join(wide, ["host", "kind"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
     start = seeds.select("host", "kind", (F.col("seed") * (1 - DAMPING)).alias("score"))
     mass = lambda df: df.agg(F.sum("score")).first()[0] or 0.0
     scores, total = start, mass(start)
@@ -78,7 +94,7 @@ def host_scores(judged: DataFrame, edges: DataFrame) -> DataFrame:
     most = math.ceil(math.log(TOLERANCE / max(total / (1 - DAMPING), TOLERANCE)) / math.log(DAMPING))
     for _ in range(0, most, ROUNDS):
         for _ in range(ROUNDS):
-            moved = steps.join(scores, ["host", "kind"]).select(F.col("target").alias("host"), "kind", (F.col("score") * F.col("share") * DAMPING).alias("score"))
+            moved = steps.join(dealt(scores), ["host", "kind", "part"]).select(F.col("target").alias("host"), "kind", (F.col("score") * F.col("share") * DAMPING).alias("score"))
             scores = moved.union(start).groupBy("host", "kind").agg(F.sum("score").alias("score"))
         scores = staged(scores, "scores")
         before, total = total, mass(scores)
@@ -91,7 +107,9 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule and verdict of every row.
 
     A URL that is null or lacks ``://`` has an empty host and path, no rule, and is allowed. Null html has no
-    links. Repeated rows are all returned. Extra columns are not read.
+    links. Repeated rows are all returned, and each counts as a page of its host, its links too. Rules of equal
+    length: the first by verdict, host and path. Equal trust and distrust allow. An empty table gives an empty
+    result. Extra columns, whatever their names, are not read. Texts of any length are read whole.
     """
     host, path = host_path(F.col("url"))
     hosted = pages.select("page_id", "html", host.alias("host"), path.alias("path"))
