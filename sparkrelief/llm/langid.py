@@ -17,20 +17,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import giving_back, is_held_out, read
+from .common import giving_back, is_held_out, read, slices
 
 UNKNOWN = "und"
-#: The model learns from about so many labelled documents at most, chosen by a hash of the id.
-MAX_TRAIN_DOCS = 12_000
-#: Kept for each language: the most frequent words, and n-grams of each length.
+#: The model learns from about so many labelled documents of each language at most, chosen by a hash of the id; of a rare language from all.
+MAX_TRAIN_DOCS = 3_000
+#: Kept for each language: the most frequent words, and n-grams of each length; fewer if the table would have more numbers than ``MAX_TABLE``.
 MAX_WORDS, MAX_GRAMS = 20_000, 8_000
-#: More label values than this are not learned; the most frequent stay.
-MAX_LANGUAGES = 64
+MAX_TABLE = 50_000_000
 MAX_N = 5
 #: -log10 frequency of what a language lacks.
 PENALTY = 7.0
-#: Words beyond this number add no confidence, as neighbouring words are not independent.
-MAX_EVIDENCE = 40
+#: Neighbouring words are not independent: the confidence grows as their number to this power.
+EVIDENCE = 0.6
 #: The pipeline rejects a document that is ``und`` or scores below this.
 MIN_SCORE = 0.3
 
@@ -121,30 +120,38 @@ class Model:
         if known:
             rest += np.asarray(weights, float) @ self.table[known]
         mean = rest / total
-        p = np.exp(-(mean - mean.min()) * np.log(10) * min(total, MAX_EVIDENCE))
-        best = int(np.argmin(mean))
+        p = np.exp(-(mean - mean.min()) * np.log(10) * total**EVIDENCE)
+        best = int(np.argmin(mean))  # of equals the first by name
         return self.langs[best], float(p[best] / p.sum())
 
 
+def table_sizes(languages: int) -> tuple[int, int]:
+    """Words, and n-grams of each length, that are kept for each of so many languages."""
+    share = min(1.0, MAX_TABLE / (languages * languages * (MAX_WORDS + MAX_N * MAX_GRAMS)))
+    return max(20, int(MAX_WORDS * share)), max(20, int(MAX_GRAMS * share))
+
+
 def train(docs: DataFrame) -> Model:
     """A model from ``text`` and non-null ``lang`` of the rows of ``docs`` that are not held out.
 
-    The sample has about ``MAX_TRAIN_DOCS`` rows, whatever the size of the corpus, so what comes to the
-    driver and is broadcast is bounded by languages x (words + n-grams).
+    Every value of ``lang`` is learned. The sample has about ``MAX_TRAIN_DOCS`` rows of each, whatever the size of
+    the corpus; what comes to the driver and is broadcast is bounded by ``MAX_TABLE``. No labelled row: an empty
+    model, which calls every text ``und``.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out()).select("doc_id", "text", "lang")
-    by_lang = docs.where(F.col("lang").isNotNull() & ~is_held_out()).groupBy("lang").count()
-    tallies = by_lang.orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not tallies:
+    by_lang = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    languages = by_lang.count()
+    if not languages:
         return Model([], [])
-    share = min(1.0, MAX_TRAIN_DOCS / sum(r["count"] for r in tallies))
-    sample = labelled.where(F.col("lang").isin([r["lang"] for r in tallies])).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0))
-    counts = sample.mapInArrow(_counts, "lang string, n int, item string, c long").groupBy("lang", "n", "item").agg(F.sum("c").alias("c"))
+    words, grams = table_sizes(languages)
+    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+    sample = labelled.join(by_lang, "lang").where(chance < F.lit(MAX_TRAIN_DOCS) / F.col("rows") * (1 << 20)).select("doc_id", "text", "lang")
+    counts = sample.mapInArrow(giving_back(_counts), "lang string, n int, item string, c long").groupBy("lang", "n", "item").agg(F.sum("c").alias("c"))
     totals = Window.partitionBy("lang", "n")
     top = (
         counts.withColumn("total", F.sum("c").over(totals))
         .withColumn("k", F.row_number().over(totals.orderBy(F.desc("c"), "item")))
-        .where(F.col("k") <= F.when(F.col("n") == 0, MAX_WORDS).otherwise(MAX_GRAMS))
+        .where(F.col("k") <= F.when(F.col("n") == 0, words).otherwise(grams))
         .select("lang", "n", "item", (-F.log10(F.col("c") / F.col("total"))).alias("s"))
     )
     rows = [tuple(r) for r in top.collect()]
@@ -155,7 +162,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (0 to 1) appended.
 
     Null text, empty text and text without a letter give ``und`` and 0. Whole texts are read. Repeated rows
-    get equal results. Columns of these two names that exist already are replaced.
+    get equal results; of languages that score alike the first by name is taken. Columns of these two names that
+    exist already are replaced. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)
@@ -164,7 +172,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def judge(batches):
         m, memo = held.value, {}
-        for batch in batches:
+        for batch in slices(batches, text):
             got = [m.predict(t, memo) for t in batch[text].to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
@@ -172,10 +180,13 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: drops the documents that language ID rejects; the rest keep their columns."""
-    keys = docs.columns
-    judged = identify(docs.withColumn("_lang", F.col("lang")), train(docs))
-    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*keys)
+    """Pipeline stage: drops the documents that language ID rejects; the rest keep their columns, whatever their names.
+
+    Null and empty texts, and texts without a letter, are ``und`` and go. Repeated rows are judged alike. An empty
+    table gives an empty one.
+    """
+    judged = identify(docs.select(F.struct("*").alias("row"), docs["text"].alias("text")), train(docs))
+    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)).select("row.*")
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:
