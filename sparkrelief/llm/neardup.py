@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, giving_back, mix, pair, partitions, read, shingle_hashes, staged, word_hashes
+from .common import U, giving_back, mix, pair, partitions, read, shingle_hashes, slices, staged, word_hashes
 from .components import components
 
 #: Symbols of a signature, bits of a symbol, chunks of a signature.
@@ -56,7 +56,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 def _signed(shingle: int):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for t in batch["text"].to_pylist():
                 s = shingle_hashes(word_hashes(t), shingle) if t else np.empty(0, U)
@@ -171,8 +171,8 @@ def _first_common(equal: np.ndarray) -> np.ndarray:
 def _block_links(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
     """Pairs of one (key, block) that are in different components and may reach the similarity.
 
-    Links found here join components for the rest of the block. Short hashes may collide, so a pair is let
-    through if it misses the similarity by up to two shingles; the full sets decide.
+    Short hashes may collide. Inside a set they then make its short form smaller, by a number that is known for each
+    set; at most so many common shingles are not counted, and they are allowed for. The full sets decide.
     """
     ids = [r[1] for r in rows]
     comp = np.array([r[2] for r in rows])
@@ -180,6 +180,7 @@ def _block_links(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
     side = np.array([r[5] for r in rows])
     sig = np.frombuffer(b"".join([r[4] for r in rows]), "<u2").reshape(-1, HASHES)
     sets = [np.frombuffer(r[7], "<u4") for r in rows]
+    lost = size - [len(x) for x in sets]
     mask, out = rows[0][0] & 63, []
     for i in range(len(rows) - 1):
         j = np.arange(i + 1, len(rows))
@@ -194,7 +195,7 @@ def _block_links(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
             lengths = np.array([len(sets[x]) for x in some])
             every = np.concatenate([sets[x] for x in some])
             at = np.minimum(np.searchsorted(sets[i], every), len(sets[i]) - 1)
-            both = np.add.reduceat((sets[i][at] == every).astype(np.int64), np.cumsum(lengths) - lengths) + 2
+            both = np.add.reduceat((sets[i][at] == every).astype(np.int64), np.cumsum(lengths) - lengths) + np.minimum(lost[i], lost[some])
             for x in some[100 * both >= percent * (size[i] + size[some] - both)].tolist():
                 out.append((min(ids[i], ids[x]), max(ids[i], ids[x])))
     return out
@@ -289,9 +290,19 @@ def _residual(labelled: DataFrame, sets: DataFrame, source: DataFrame, shingle:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: one document of each group of near-duplicates stays (five words, 0.8), with its columns."""
-    judged = near_duplicates(docs, shingle=5).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(judged, docs["doc_id"].eqNullSafe(judged["_id"]), "left_semi")
+    """Pipeline stage: one document of each group of near-duplicates stays (five words, 0.8), with its columns, whatever their names.
+
+    The one with the smallest id stays. Of rows with its id, those of equal text count as one; other texts with that
+    id all stay. Null and empty texts and rows without an id are alike to nothing and stay. An empty table gives an
+    empty one.
+    """
+    judged = staged(near_duplicates(docs, shingle=5).where("kept").groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("rows")), "judged")
+    several = staged(judged.where("rows > 1 and id is not null").select("id"), "several")
+    named = docs.select(F.struct("*").alias("row"), docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
+    alone = named.drop("text").join(judged.where("rows = 1 or id is null"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    # ids with several rows are few as a rule, and then no text is dealt out to meet them
+    copied = named.join(several, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return alone.select("row").union(copied.select("row")).select("row.*")
 
 
 def op7_minhash(spark, sf_dir: str) -> DataFrame:
