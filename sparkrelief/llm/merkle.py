@@ -60,8 +60,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     cuts = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n).alias("c")).first()["c"]
     cuts = sorted(set(cuts or []))
-    block = F.coalesce(F.array_position(F.transform(F.lit(cuts) if cuts else F.array().cast("array<bigint>"), lambda c: c >= F.col("doc_id")), F.lit(True)).cast("int"), F.lit(1))
-    block = F.when(F.col("doc_id").isNull(), 0).when(F.col("doc_id") > (cuts[-1] if cuts else 0), len(cuts) + 1).otherwise(block)
+    # the number of cuts below the id, by bisection
+    sorted_cuts = F.lit(cuts) if cuts else F.array().cast("array<bigint>")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))]) if cuts else F.array().cast("array<int>")
+    below = F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(sorted_cuts, at + s - 1) < F.col("doc_id"), at + s).otherwise(at))
+    block = F.when(F.col("doc_id").isNull(), 0).otherwise(below + 1)
     ranged = rows.withColumn("block", block)
     # the first id of each block that has rows goes to the block with rows before it (of the first: the last)
     firsts = sorted((r["block"], r["least"]) for r in ranged.groupBy("block").agg(F.min("doc_id").alias("least")).collect())

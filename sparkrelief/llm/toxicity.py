@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, is_held_out, pair, read, word_hashes
+from .common import U, giving_back, is_held_out, pair, read, slices, word_hashes
 
 BUCKETS = 1 << 20
 #: Labelled documents learned from at most (about), chosen by a hash of the id.
@@ -96,12 +96,12 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     def judge(batches):
         weights = np.zeros(BUCKETS)
         weights[held.value[0]] = held.value[1]
-        for batch in batches:
+        for batch in slices(batches):
             s = np.array([weights[features(t)].sum() for t in batch["text"].to_pylist()])
             p = 1 / (1 + np.exp(-np.clip(s, -500, 500)))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(p, pa.float64()), pa.array(p >= THRESHOLD).cast(pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select("doc_id", is_held_out().alias("held_out"), F.col("text").cast("binary").alias("text")).mapInArrow(judge, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", is_held_out().alias("held_out"), F.col("text").cast("binary").alias("text")).mapInArrow(giving_back(judge), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
