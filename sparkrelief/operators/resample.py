@@ -20,12 +20,6 @@ def covering(b: Column, z: Column) -> Column:
     return F.struct(nw.x.alias("x0"), nw.y.alias("y0"), (se.x - nw.x + 1).alias("tiles_x"), (se.y - nw.y + 1).alias("tiles_y"))
 
 
-def covering_tiles(boxes: DataFrame, z: Column) -> DataFrame:
-    """``boxes`` (with a ``bounds`` struct) and one row for each covering tile ``tx``, ``ty``: a range join becomes an equi-join."""
-    c = covering(F.col("bounds"), z)
-    return boxes.withColumn("_c", c).withColumn("tx", F.explode(F.expr("sequence(_c.x0, _c.x0 + _c.tiles_x - 1)"))).withColumn("ty", F.explode(F.expr("sequence(_c.y0, _c.y0 + _c.tiles_y - 1)"))).drop("_c")
-
-
 def _axis(value: Column, low: Column, high: Column) -> Column:
     """Struct p0, p1, t of a pixel position: neighbours clamped to the block, and the way between them."""
     i = F.floor(value).cast("long")
@@ -33,11 +27,6 @@ def _axis(value: Column, low: Column, high: Column) -> Column:
     return F.struct(clamp(i).alias("p0"), clamp(i + 1).alias("p1"), (value - i).alias("t"))
 
 
-def block_limits(pixels: DataFrame) -> DataFrame:
-    """One row: struct ``block`` with the inclusive limits x_lo, x_hi, y_lo, y_hi of pixels(px, py)."""
-    return pixels.agg(F.min("px").alias("x_lo"), F.max("px").alias("x_hi"), F.min("py").alias("y_lo"), F.max("py").alias("y_hi")).select(F.struct("x_lo", "x_hi", "y_lo", "y_hi").alias("block"))
-
-
 def pixel_axes(lon: Column, lat: Column, z: Column, tile_size: int, block: Column) -> tuple[Column, Column]:
     """Positions along both axes; ``block`` has the inclusive pixel limits x_lo, x_hi, y_lo, y_hi."""
     world = geo.tile_count(z) * tile_size

@@ -330,6 +330,16 @@ def test_packed_heights_equal_columns(spark, name):
     assert rgb.decode(name, np.frombuffer(bytes(row.c), np.uint8)).tolist() == pytest.approx(row.back, nan_ok=True)
 
 
+def test_masks_and_container_names(spark):
+    masks = [[7] * 65536, [7] * 65535 + [8], [7, 8], [9] * 70000]
+    got = spark.createDataFrame([(i, m) for i, m in enumerate(masks)], "i int, v array<int>").coalesce(1).select("i", avail.collapsed_mask(F.col("v")).alias("m")).orderBy("i").collect()
+    assert [(r.m.kind, r.m.uniform) for r in got] == [("uniform", 7), ("grid", None), ("uniform", 0), ("uniform", 9)] and got[1].m.grid == masks[1]
+    names = spark.createDataFrame([("PNG",), ("image/webp",), ("avif",)], "n string")
+    assert [r.c for r in names.select(codec.container_name(F.col("n")).alias("c")).collect()] == ["png", "webp", "avif"]
+    with pytest.raises(Exception, match="unknown container"):
+        names.select(codec.container_name(F.lit("gif"))).collect()
+
+
 def test_octahedral_bytes_come_back():
     rng = np.random.default_rng(1)
     v = rng.normal(size=(2000, 3))
