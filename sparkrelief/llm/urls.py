@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, staged
+from .common import partitions, read, staged
 
 #: (verdict, host, path prefix)
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -34,6 +34,8 @@ THRESHOLD = 0.05
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Links of one host that go to one part.
 PART = 4096
+#: Links of a task in a round; a small graph needs few tasks, whatever the session's partitions.
+LINKS_PER_TASK = 200_000
 _LINK = r"""(?i)\b(?:href|src)\s{0,8}=\s{0,8}["']?(?:[a-z][a-z0-9+.-]{0,19}:)?//([^/?#"'\s<>]++)"""
 
 
@@ -70,14 +72,20 @@ def _edges(hosted: DataFrame) -> DataFrame:
     return links.union(both).groupBy("source", "target").agg(F.sum("weight").alias("weight"))
 
 
-def host_scores(judged: DataFrame, edges: DataFrame) -> DataFrame:
+def _by_host(scores: DataFrame) -> DataFrame:
+    return scores.groupBy("host").agg(F.sum(F.when(F.col("kind") == 0, F.col("score")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == 1, F.col("score")).otherwise(0.0)).alias("distrust"))
+
+
+def host_scores(judged: DataFrame, edges: DataFrame, verdicts_only: bool = False) -> DataFrame:
     """host, trust, distrust of every host that has some.
 
     Both run in one frame of (host, kind, score): an edge carries kind 0 forward and kind 1 backward. Seeds are
-    the shares of a host's pages that a rule allows or blocks. Every score is within ``TOLERANCE`` of its limit.
+    the shares of a host's pages that a rule allows or blocks. Every score is within ``TOLERANCE`` of its limit; with
+    ``verdicts_only`` the rounds end as soon as what is still to come can change no host's verdict.
     """
     share = judged.where("host <> ''").groupBy("host").agg(*[(F.sum(F.when(F.col("rule_verdict") == v, 1).otherwise(0)) / F.count(F.lit(1))).alias(k) for v, k in (("allow", "t"), ("block", "d"))])
     seeds = share.select("host", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("t").alias("seed")), F.struct(F.lit(1).alias("kind"), F.col("d").alias("seed")))).alias("x")).select("host", "x.kind", "x.seed").where("seed > 0")
+    spark = judged.sparkSession
     both = edges.select("source", "target", "weight", F.lit(0).alias("kind")).union(edges.select("target", "source", "weight", F.lit(1)))
     both = staged(both, "edges")
     total = both.groupBy("source", "kind").agg(F.sum("weight").alias("total"), F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
@@ -86,7 +94,8 @@ def host_scores(judged: DataFrame, edges: DataFrame) -> DataFrame:
     part = F.pmod(F.xxhash64("target"), F.col("parts")).cast("int")
     steps = staged(both.join(total, ["source", "kind"]).select(F.col("source").alias("host"), "kind", part.alias("part"), "target", (F.col("weight") / F.col("total")).alias("share")), "steps")
     wide = total.where("parts > 1").select(F.col("source").alias("host"), "kind", "parts")
-    dealt = lambda scores: scores.join(wide, ["host", "kind"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    hubs, tasks = not wide.isEmpty(), min(partitions(spark), math.ceil(max(1, both.count()) / LINKS_PER_TASK))
+    dealt = lambda scores: scores.join(wide, ["host", "kind"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))) if hubs else scores.withColumn("part", F.lit(0))
     start = seeds.select("host", "kind", (F.col("seed") * (1 - DAMPING)).alias("score"))
     mass = lambda df: df.agg(F.sum("score")).first()[0] or 0.0
     scores, total = start, mass(start)
@@ -95,12 +104,18 @@ def host_scores(judged: DataFrame, edges: DataFrame) -> DataFrame:
     for _ in range(0, most, ROUNDS):
         for _ in range(ROUNDS):
             moved = steps.join(dealt(scores), ["host", "kind", "part"]).select(F.col("target").alias("host"), "kind", (F.col("score") * F.col("share") * DAMPING).alias("score"))
-            scores = moved.union(start).groupBy("host", "kind").agg(F.sum("score").alias("score"))
+            scores = moved.union(start).groupBy("host", "kind").agg(F.sum("score").alias("score")).coalesce(tasks)
         scores = staged(scores, "scores")
         before, total = total, mass(scores)
         if total - before <= TOLERANCE:
             break
-    return scores.groupBy("host").agg(F.sum(F.when(F.col("kind") == 0, F.col("score")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == 1, F.col("score")).otherwise(0.0)).alias("distrust"))
+        if verdicts_only:
+            # each further ``ROUNDS`` add at most this share of what the last ones did, to all hosts together
+            rest = (total - before) * DAMPING**ROUNDS / (1 - DAMPING**ROUNDS)
+            t, d = F.col("trust"), F.col("distrust")
+            if _by_host(scores).where(~((t >= d + rest) | (d + rest <= THRESHOLD) | ((d > t + rest) & (d > THRESHOLD)))).isEmpty():
+                break
+    return _by_host(scores)
 
 
 def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -115,7 +130,7 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     hosted = pages.select("page_id", "html", host.alias("host"), path.alias("path"))
     text, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     judged = hosted.select("page_id", "host", "path", text.alias("rule"), verdict.alias("rule_verdict"))
-    scores = host_scores(judged.select("host", "rule_verdict"), _edges(hosted.select("host", "html")))
+    scores = host_scores(judged.select("host", "rule_verdict"), _edges(hosted.select("host", "html")), verdicts_only=True)
     bad = scores.where((F.col("distrust") > F.col("trust")) & (F.col("distrust") > THRESHOLD)).select("host", F.lit("block").alias("by_host"))
     return judged.join(bad, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", "by_host", F.lit("allow")).alias("verdict"))
 
