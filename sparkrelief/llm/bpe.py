@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from .common import giving_back, read, slices
 
 #: Words, and letters of them, that a worker remembers, and as many from before them; beyond it the older ones are forgotten.
-MAX_CACHE, MAX_LETTERS = 200_000, 4_000_000
+MAX_CACHE, MAX_LETTERS = 120_000, 3_000_000
 END = "</w>"
 #: Words of up to so many letters are merged side by side, by classes of length; so many at once.
 WIDTHS = (4, 8, 12, 16, 24, 32, 48)
@@ -380,7 +380,7 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
         names = {i: n.encode() for i, n in bpe.names.items()}
         shown = lambda t: (len(t), b" ".join([digits[i] for i in t]), b" ".join([names[i] for i in t]))
         memory = Memory()
-        for batch in slices(batches):
+        for batch in slices(batches, most=1 << 20):
             out: list[tuple[int, str, str]] = []
             split = [bpe.parts(t) for t in batch["text"].to_pylist()]
             of = memory.of(split, lambda words: map(shown, bpe.verified(words)))

@@ -158,7 +158,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
     def run(batches):
         bpe = loaded(path or default_path())
         memory, end = Memory(), as_bytes([SEPARATOR])
-        for batch in slices(batches):
+        for batch in slices(batches, most=1 << 20):
             split = [bpe.parts(t) for t in batch["text"].to_pylist()]
             of = memory.of(split, bpe.merge_all)
             out: list[tuple] = []
