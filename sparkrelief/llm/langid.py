@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import giving_back, is_held_out, read, slices
+from .common import giving_back, is_held_out, read, slices, staged
 
 UNKNOWN = "und"
 #: The model learns from about so many labelled documents of each language at most, chosen by a hash of the id; of a rare language from all.
@@ -139,7 +139,8 @@ def train(docs: DataFrame) -> Model:
     model, which calls every text ``und``.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out()).select("doc_id", "text", "lang")
-    by_lang = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    # written, so that few labels are known to be few and texts needn't be dealt by label to meet them
+    by_lang = staged(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")), "languages")
     languages = by_lang.count()
     if not languages:
         return Model([], [])
