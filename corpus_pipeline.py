@@ -24,7 +24,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
+    """All stages over the documents of ``sf_dir``: the pieces of what is left, with their places in sequences.
+
+    Documents with a null or empty text, or without a letter, go in the first stage; a null id is kept through all
+    stages. Repeated rows become one in the second. Extra columns may have any names. No documents: no pieces.
+    """
     docs = read(spark, sf_dir, "documents", "*")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
