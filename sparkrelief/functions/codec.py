@@ -105,7 +105,7 @@ def packed_pixel(content: Column, i: Column) -> Column:
 def checked_rgb(content: Column, width: Column, height: Column) -> Column:
     """Packed bytes; an error if they are not three for each pixel."""
     fits = F.octet_length(content) == width * height * 3
-    return F.when(fits, content).otherwise(F.raise_error(F.concat(F.lit("rgb length mismatch: expected "), (width * height * 3).cast("string"), F.lit(", got "), F.octet_length(content).cast("string"))).cast("binary"))
+    return F.when(fits, content).otherwise(F.raise_error(F.concat(F.octet_length(content).cast("string"), F.lit(" packed bytes are not three for each pixel"))).cast("binary"))
 
 
 def height_at(name: Column, content: Column, width: Column, x: Column, y: Column) -> Column:

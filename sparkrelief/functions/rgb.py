@@ -40,7 +40,7 @@ def decode(name: str, content: np.ndarray) -> np.ndarray:
     """Heights of packed bytes; a number of bytes that three does not divide is an error."""
     kind = format_of(name)
     if len(content) % 3:
-        raise ValueError(f"rgb length mismatch: {len(content)} bytes")
+        raise ValueError(f"{len(content)} packed bytes are not three for each pixel")
     r, g, b = content.reshape(-1, 3).astype(np.int64).T
     if kind == "gsi":
         v = (r << 16) | (g << 8) | b

@@ -313,7 +313,7 @@ def test_wrong_sizes_are_errors(spark):
     with pytest.raises(Exception, match="grid needs 81"):
         encode.encode_terrain(tiles, 8, ["k"]).collect()
     packed = spark.createDataFrame([(bytearray(11),)], "c binary")
-    with pytest.raises(Exception, match="rgb length mismatch"):
+    with pytest.raises(Exception, match="not three for each pixel"):
         packed.select(codec.checked_rgb(F.col("c"), F.lit(2), F.lit(2))).collect()
     with pytest.raises(Exception, match="unknown height format"):
         packed.select(codec.format_name(F.lit("jpeg"))).collect()
