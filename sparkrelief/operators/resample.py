@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geo
-from ..sources.tilebytes import lists
+from ..sources.tilebytes import lists, slices
 from . import kernels
 from .normals import blend
 
@@ -62,6 +62,26 @@ def geodetic_posts(boxes: DataFrame, grid_size: int, buffer: int = 0) -> DataFra
     return rows.withColumn("gx", F.explode(span)).withColumn("lon", b.west + F.col("gx") * (geo.width(b) / n))
 
 
+def _blocks(boxes: DataFrame, grid_size: int, keys: list[str], buffer: int) -> DataFrame:
+    """keys, ``bounds``, ``_z`` and the block ``c`` of each box, with a row for each of its raster tiles, tx and ty."""
+    b, n = F.col("bounds"), grid_size - 1
+    wide = geo.bounds(b.west - geo.width(b) / n * buffer, b.south - geo.height(b) / n * buffer, b.east + geo.width(b) / n * buffer, b.north + geo.height(b) / n * buffer)
+    asked = boxes.select(*keys, "bounds", F.col("z").alias("_z"), covering(wide, F.col("z")).alias("c"))
+    return asked.withColumn("tx", F.explode(F.expr("sequence(c.x0, c.x0 + c.tiles_x - 1)"))).withColumn("ty", F.explode(F.expr("sequence(c.y0, c.y0 + c.tiles_y - 1)")))
+
+
+def under(boxes: DataFrame, rasters: DataFrame, grid_size: int, buffer: int = 0) -> DataFrame:
+    """The rows of ``rasters`` (z, x, y, any others) that ``geodetic_grids`` takes for ``boxes``, each once, dealt by these keys.
+
+    So what is costly a raster, such as decoding, comes after this, in a stage of its own and only for these.
+    """
+    if grid_size < 2:
+        raise ValueError("a grid needs two posts a side at least")
+    asked = _blocks(boxes, grid_size, [], buffer).select(F.col("_z").alias("z"), F.col("tx").alias("x"), F.col("ty").alias("y"))
+    whole = rasters.withColumn("x", F.col("x").cast("long")).withColumn("y", F.col("y").cast("long"))
+    return whole.join(asked, ["z", "x", "y"], "left_semi").repartition("z", "x", "y")
+
+
 def geodetic_grids(boxes: DataFrame, rasters: DataFrame, tile_size: int, grid_size: int, keys: list[str], buffer: int = 0) -> DataFrame:
     """``boxes`` (keys, ``bounds``, ``z``) with ``heights`` at grid_size² posts and, with a ``buffer``, ``halo`` at (grid_size + 2 buffer)², north to south.
 
@@ -74,35 +94,33 @@ def geodetic_grids(boxes: DataFrame, rasters: DataFrame, tile_size: int, grid_si
         raise ValueError("a grid needs two posts a side at least")
     if tile_size < 1:
         raise ValueError("a raster tile needs pixels")
-    b, n = F.col("bounds"), grid_size - 1
-    wide = geo.bounds(b.west - geo.width(b) / n * buffer, b.south - geo.height(b) / n * buffer, b.east + geo.width(b) / n * buffer, b.north + geo.height(b) / n * buffer)
-    c = covering(wide, F.col("z"))
-    asked = boxes.select(*keys, "bounds", F.col("z").alias("_z"), c.alias("c"))
-    asked = asked.withColumn("tx", F.explode(F.expr("sequence(c.x0, c.x0 + c.tiles_x - 1)"))).withColumn("ty", F.explode(F.expr("sequence(c.y0, c.y0 + c.tiles_y - 1)")))
+    asked = _blocks(boxes, grid_size, keys, buffer)
     source = rasters.select(F.col("z").alias("_z"), F.col("x").cast("long").alias("tx"), F.col("y").cast("long").alias("ty"), F.transform("heights", lambda h: F.coalesce(h.cast("double"), F.lit(float("nan")))).alias("grid"))
     tile = F.struct("tx", "ty", F.coalesce("grid", F.array().cast("array<double>")).alias("grid"))
     blocks = asked.join(source, ["_z", "tx", "ty"], "left").groupBy(*keys).agg(F.first("bounds").alias("bounds"), F.first("_z").alias("_z"), F.first("c").alias("c"), F.collect_list(tile).alias("tiles"))
 
     def run(batches):
+        side = grid_size + 2 * buffer
+        column = lambda rows, size: pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * size * size, pa.int32()), pa.array(np.concatenate(rows), pa.float64()))
         for batch in batches:
-            inner, outer = [], []
-            made = zip(batch["bounds"].to_pylist(), batch["_z"].to_pylist(), batch["c"].to_pylist(), batch["tiles"], strict=True)
-            for bounds, z, block, tiles in made:
-                whole = np.full((block["tiles_y"] * tile_size, block["tiles_x"] * tile_size), np.nan)
-                parts = tiles.values
-                for x, y, grid in zip(parts.field("tx").to_pylist(), parts.field("ty").to_pylist(), lists(parts.field("grid")), strict=True):
-                    if len(grid) not in (0, tile_size * tile_size):
-                        raise ValueError(f"a raster tile has {len(grid)} samples, not {tile_size * tile_size}")
-                    if len(grid):
-                        i, j = (x - block["x0"]) * tile_size, (y - block["y0"]) * tile_size
-                        whole[j : j + tile_size, i : i + tile_size] = grid.reshape(tile_size, tile_size)
-                box = tuple(bounds[k] for k in ("west", "south", "east", "north"))
-                h = kernels.resampled(whole, block["x0"] * tile_size, block["y0"] * tile_size, (1 << z) * tile_size, box, grid_size, buffer)
-                outer.append(h.ravel())
-                inner.append(h[buffer : buffer + grid_size, buffer : buffer + grid_size].ravel())
-            column = lambda rows, size: pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * size * size, pa.int32()), pa.array(np.concatenate(rows) if rows else [], pa.float64()))
-            more = [column(outer, grid_size + 2 * buffer)] if buffer else []
-            yield pa.RecordBatch.from_arrays([*[batch[k] for k in keys], column(inner, grid_size), *more], [*keys, "heights", *["halo"] * bool(buffer)])
+            for _, some in slices(batch, side * side):
+                inner, outer = [], []
+                made = zip(some["bounds"].to_pylist(), some["_z"].to_pylist(), some["c"].to_pylist(), some["tiles"], strict=True)
+                for bounds, z, block, tiles in made:
+                    whole = np.full((block["tiles_y"] * tile_size, block["tiles_x"] * tile_size), np.nan)
+                    parts = tiles.values
+                    for x, y, grid in zip(parts.field("tx").to_pylist(), parts.field("ty").to_pylist(), lists(parts.field("grid")), strict=True):
+                        if len(grid) not in (0, tile_size * tile_size):
+                            raise ValueError(f"a raster tile has {len(grid)} samples, not {tile_size * tile_size}")
+                        if len(grid):
+                            i, j = (x - block["x0"]) * tile_size, (y - block["y0"]) * tile_size
+                            whole[j : j + tile_size, i : i + tile_size] = grid.reshape(tile_size, tile_size)
+                    box = tuple(bounds[k] for k in ("west", "south", "east", "north"))
+                    h = kernels.resampled(whole, block["x0"] * tile_size, block["y0"] * tile_size, (1 << z) * tile_size, box, grid_size, buffer)
+                    outer.append(h.ravel())
+                    inner.append(h[buffer : buffer + grid_size, buffer : buffer + grid_size].ravel())
+                more = [column(outer, side)] if buffer else []
+                yield pa.RecordBatch.from_arrays([*[some[k] for k in keys], column(inner, grid_size), *more], [*keys, "heights", *["halo"] * bool(buffer)])
 
     grid = T.ArrayType(T.DoubleType())
     schema = T.StructType([*[boxes.schema[k] for k in keys], T.StructField("heights", grid), *[T.StructField("halo", grid)] * bool(buffer)])

@@ -83,15 +83,14 @@ def encode_terrain(tiles: DataFrame, cells: int, keys: list[str], options: Optio
             if any(len(h) != side * side for h in heights):
                 raise ValueError(f"a grid needs {side * side} heights")
             halos = tilebytes.lists(batch["halo"]) if options.normals == "gradient" else [None] * len(heights)
-            rest, made = {c: batch[c].to_pylist() for c in more}, []
-            at_once = max(1, 2_000_000 // (side * side))
-            for k in range(0, len(heights), at_once):
-                some = np.array(heights[k : k + at_once], float).reshape(-1, side * side)
-                curved = some + np.array([kernels.bulge(cells, b) for b in bounds[k : k + at_once]])
-                for i, (h, e) in enumerate(zip(some, tri.errors(curved), strict=True), k):
-                    parts = kernels.tile(h, e, bounds[i], cells, options.max_error, options.normals, halos[i], options.buffer)
+            for k, rows in tilebytes.slices(batch, side * side):
+                rest, made = {c: rows[c].to_pylist() for c in more}, []
+                some = np.array(heights[k : k + rows.num_rows], float).reshape(-1, side * side)
+                curved = some + np.array([kernels.bulge(cells, b) for b in bounds[k : k + rows.num_rows]])
+                for i, (h, e) in enumerate(zip(some, tri.errors(curved), strict=True)):
+                    parts = kernels.tile(h, e, bounds[k + i], cells, options.max_error, options.normals, halos[k + i], options.buffer)
                     made.append(tilebytes.encode_tile(parts["header"], parts["u"], parts["v"], parts["height"], parts["indices"], parts["edges"], parts.get("normals"), level=options.level, **{c: rest[c][i] for c in more}))
-            yield pa.RecordBatch.from_arrays([*[batch[c] for c in keys], pa.array(made, pa.binary())], [*keys, "content"])
+                yield pa.RecordBatch.from_arrays([*[rows[c] for c in keys], pa.array(made, pa.binary())], [*keys, "content"])
 
     doubles = F.transform("heights", lambda h: F.coalesce(h.cast("double"), F.lit(float("nan"))))
     source = tiles.withColumn("heights", doubles)
@@ -110,11 +109,14 @@ def encode_columns(tiles: DataFrame, cells: int, keys: list[str], options: Optio
     return tilebytes.encode_tiles(made, keys, options.level)
 
 
+def _buffer(options: Options) -> int:
+    return options.buffer if options.normals == "gradient" else 0
+
+
 def encode_rasters(boxes: DataFrame, rasters: DataFrame, tile_size: int, cells: int, keys: list[str], options: Options | None = None) -> DataFrame:
     """keys and ``content`` of the tiles over ``boxes`` (keys, ``bounds``, ``z`` of the rasters to take), with heights from mercator ``rasters`` (z, x, y, heights)."""
     options = options or Options()
-    buffer = options.buffer if options.normals == "gradient" else 0
-    return encode_terrain(resample.geodetic_grids(boxes, rasters, tile_size, cells + 1, keys, buffer), cells, keys, options)
+    return encode_terrain(resample.geodetic_grids(boxes, rasters, tile_size, cells + 1, keys, _buffer(options)), cells, keys, options)
 
 
 def verified(tiles: DataFrame, keys: list[str]) -> DataFrame:
@@ -124,5 +126,10 @@ def verified(tiles: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def reproject(boxes: DataFrame, images: DataFrame, tile_size: int, cells: int, keys: list[str], options: Options | None = None, fmt: str = "terrarium") -> DataFrame:
-    """The whole job: images (z, x, y, content) of mercator heights in, terrain tiles of ``boxes`` out, as keys and ``content``."""
-    return encode_rasters(boxes, png.image_heights(images, ["z", "x", "y"], fmt, tile_size), tile_size, cells, keys, options)
+    """The whole job: images (z, x, y, content) of mercator heights in, terrain tiles of ``boxes`` out, as keys and ``content``.
+
+    Only images under a box are decoded, each once, apart from the stage that reads them.
+    """
+    options = options or Options()
+    asked = resample.under(boxes, images, cells + 1, _buffer(options))
+    return encode_rasters(boxes, png.image_heights(asked, ["z", "x", "y"], fmt, tile_size), tile_size, cells, keys, options)

@@ -3,8 +3,10 @@
 import math
 import random
 import struct
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -236,6 +238,57 @@ def test_rasters_become_tiles(spark, tmp_path):
         encode.encode_rasters(boxes, queries._rasters(spark, str(tmp_path)), 16, 8, ["k", "z"], options).collect()
 
 
+def test_steps_of_the_whole_job_make_few_tiles_at_once(spark, monkeypatch):
+    """The memory of each Arrow step does not follow the rows of a batch, and parts of batches change no result."""
+    box, vec = "struct<west:double,south:double,east:double,north:double>", {"west": 10.0, "south": 20.0, "east": 11.0, "north": 21.0}
+    frame = lambda schema: spark.createDataFrame([], schema)
+    runs, whole = [], type(frame("k int")).mapInArrow
+    monkeypatch.setattr(type(frame("k int")), "mapInArrow", lambda self, run, *more: runs.append(run) or whole(self, run, *more))
+    png.height_images(frame("k long, heights array<double>"), ["k"], "terrarium", 256)
+    png.image_heights(frame("k long, content binary"), ["k"], "terrarium", 256)
+    resample.geodetic_grids(frame(f"k long, z int, bounds {box}"), frame("z int, x int, y int, heights array<double>"), 8, 65, ["k"], 1)
+    encode.encode_terrain(frame(f"k long, bounds {box}, heights array<double>, halo array<double>"), 64, ["k"], encode.Options(max_error=1e9, normals="gradient"))
+    tilebytes.decode_tiles(frame("k long, content binary"), ["k"])
+    rng = np.random.default_rng(4)
+    image, fine = rng.uniform(0, 900, 65536), rng.uniform(0, 900, 65 * 65)
+    parts = kernels.tile(fine, kernels.triangles(64).errors(fine[None])[0], tuple(vec.values()), 64, 0.0)
+    rows = [
+        (8, {"heights": image}),
+        (8, {"content": png.write_png(rgb.encode("terrarium", image).tobytes(), 256, 256)}),
+        (64, {"bounds": vec, "_z": 5, "c": {"x0": 16, "y0": 14, "tiles_x": 1, "tiles_y": 1}, "tiles": [{"tx": 16, "ty": 14, "grid": image[:64]}]}),
+        (64, {"bounds": vec, "heights": fine, "halo": rng.uniform(0, 900, 67 * 67)}),
+        (8, {"content": tilebytes.encode_tile(**{"head" if k == "header" else k: v for k, v in parts.items()})}),
+    ]
+    for run, (n, row) in zip(runs, rows, strict=True):
+        peaks = []
+        for count in (n, n, 8 * n):  # the first for what is made once
+            batch = pa.RecordBatch.from_pylist([{"k": k} | row for k in range(count)])
+            tracemalloc.start()
+            keys = [k for out in run([batch]) for k in out["k"].to_pylist()]
+            peaks.append(tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+            assert keys == list(range(count))
+        assert peaks[2] < 2 * peaks[1], (list(row), peaks)
+        each = [x for k in range(batch.num_rows) for out in run([batch.slice(k, 1)]) for x in out.to_pylist()] if "content" not in row else []
+        assert not each or str(each) == str([x for out in run([batch]) for x in out.to_pylist()])
+
+
+def test_only_images_under_a_box_are_decoded(spark):
+    """An image that no box asks for has no part in the work; one that two boxes share is decoded once."""
+    good = png.write_png(rgb.encode("terrarium", np.arange(64.0)).tobytes(), 8, 8)
+    boxes = spark.createDataFrame([(1, 5, (10.0, 20.0, 20.0, 30.0)), (2, 5, (12.0, 20.0, 22.0, 30.0))], "k long, z int, bounds struct<west:double,south:double,east:double,north:double>")
+    images = spark.createDataFrame([(z, x, y, good if z == 5 and x < 24 else b"no image") for z in (4, 5) for x in range(32) for y in range(32)], "z int, x int, y int, content binary")
+    options = encode.Options(max_error=5.0, normals="gradient")
+    want = encode.encode_rasters(boxes, png.image_heights(images.where("z = 5 AND x < 24"), ["z", "x", "y"], "terrarium", 8), 8, 8, ["k"], options)
+    tiles = lambda df: {r.k: bytes(r.content) for r in df.collect()}
+    got = tiles(encode.reproject(boxes, images, 8, 8, ["k"], options))
+    assert got == tiles(want) and len(got) == 2
+    asked = [(r.z, r.x, r.y) for r in resample.under(boxes, images, 9, 1).collect()]
+    assert len(asked) == len(set(asked)) > 4 and {z for z, _, _ in asked} == {5}
+    with pytest.raises(Exception, match="not a PNG"):
+        encode.reproject(boxes, images.withColumn("content", F.lit(b"no image")), 8, 8, ["k"], options).collect()
+
+
 def test_grid_of_a_flat_raster_is_flat(spark):
     rasters = spark.createDataFrame([(5, x, y, [42.0] * 16) for x in range(32) for y in range(32)], "z int, x int, y int, heights array<double>")
     boxes = spark.createDataFrame([(1, 5, (10.0, 20.0, 20.0, 30.0)), (2, 5, (-180.0, -90.0, 180.0, 90.0))], "k int, z int, bounds struct<west:double,south:double,east:double,north:double>")
